@@ -173,3 +173,164 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     comp = components(links(nodes, radius))
     roots = nodes.join(comp, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fp.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: The pipeline's near-duplicates: words of a shingle and least Jaccard similarity of the sets of shingles.
+STAGE_WORDS, SIMILAR = 5, 0.8
+#: Differing bits up to which pairs are compared (pairs at 0.8 differ in about 10 of 64, with deviation 3), the bits
+#: at which a table must still find a pair, and the chance of missing such a pair in all tables.
+WITHIN, TYPICAL, MISSED = 14, 10, 0.03
+#: Documents that are verified together; more are verified in pairs of blocks.
+BLOCK = 2_000
+
+
+def tables(n: int) -> list[int]:
+    """Masks of sampled bits. A shard holds about 32 unrelated fingerprints whatever n is, and there are as many
+    tables as it takes to keep the chance of a miss."""
+    bits = max(6, min(40, int(np.ceil(np.log2(max(2, n)))) - 5))
+    hit = (1 - TYPICAL / 64) ** bits
+    rng = np.random.default_rng(7)
+    count = int(np.ceil(np.log(MISSED) / np.log(1 - hit)))
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(count)]
+
+
+def shingle_set(text: str, words: int = STAGE_WORDS) -> np.ndarray:
+    return np.unique(hash_shingles(text, words))
+
+
+def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> Iterator[tuple[int, int]]:
+    """Pairs of sets with a Jaccard similarity of `least` or more, without those that add nothing to the components."""
+    g = len(sets)
+    if g <= 8:
+        plain = [set(s.tolist()) for s in sets]
+        for j in range(g):
+            for i in range(j):
+                both = len(plain[i] & plain[j])
+                if both >= least * (len(plain[i]) + len(plain[j]) - both):
+                    yield i, j
+        return
+    size = np.array([len(s) for s in sets])
+    values, where, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(g), size)
+    col = np.cumsum(n > 1) - 1  # shingles of one document can't be shared
+    shared = n[where] > 1
+    owner, col = owner[shared], col[where][shared]
+    both = np.zeros((g, g), np.float32)
+    for a in range(0, int((n > 1).sum()), 4096):
+        m = np.zeros((g, 4096), np.float32)
+        part = (col >= a) & (col < a + 4096)
+        m[owner[part], col[part] - a] = 1
+        both += m @ m.T
+    ok = np.triu(both >= least * (size[:, None] + size - both), 1)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+        yield i, j
+
+
+def _clusters(radius: int):
+    """Members of each shard that are linked in its BK-tree, as groups to be verified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        met: set[int] = set()
+
+        def flush() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_pydict({"grp": pa.array(np.concatenate(grp) if grp else [], pa.int64()), "node": pa.array(np.concatenate(nodes) if nodes else [], pa.int64())})
+            grp.clear()
+            nodes.clear()
+            return b
+
+        for _, t in groups(batches, "shard"):
+            if t.num_rows < 2:
+                continue
+            tree, uf = BKTree(), UnionFind()
+            at: dict[int, int] = {}
+            for f, n in zip(t["fp"].to_pylist(), t["node"].to_pylist()):
+                f &= 0xFFFFFFFFFFFFFFFF
+                if f in at:  # other words, same fingerprint
+                    uf.union(n, at[f])
+                    continue
+                at[f] = n
+                for g in tree.add_and_find(f, radius):
+                    uf.union(n, at[g])
+            members: dict[int, list[int]] = {}
+            for n in uf.up:
+                members.setdefault(uf.find(n), []).append(n)
+            for m in members.values():
+                m = np.array(sorted(m), np.int64)
+                blocks = [m] if len(m) <= BLOCK else [m[a : a + BLOCK // 2] for a in range(0, len(m), BLOCK // 2)]
+                for i, x in enumerate(blocks):
+                    for y in blocks[i + (len(blocks) > 1) :] if len(blocks) > 1 else [x]:
+                        s = np.union1d(x, y)
+                        g = xxhash.xxh64_intdigest(s.tobytes())
+                        if g not in met:
+                            met.add(g)
+                            grp.append(np.full(len(s), np.array([g], np.uint64).view(np.int64)[0]))
+                            nodes.append(s)
+            if len(grp) >= 5000:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, t in groups(batches, "grp"):
+        node = t["node"].to_pylist()
+        uf = UnionFind()
+        for i, j in similar_links([np.frombuffer(x, "<u8") for x in t["data"].to_pylist()]):
+            uf.union(node[i], node[j])
+        pairs = [(x, r) for x in uf.up if (r := uf.find(x)) != x]
+        if pairs:
+            yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = WITHIN) -> DataFrame:
+    """doc_id, component_id: classes of documents whose sets of `words`-word shingles have a Jaccard similarity of 0.8
+    or more, directly or over others; one row for each row of docs with a doc_id.
+
+    Documents with equal sets are one node. Fingerprints meet in shards of sampled bits; a shard's BK-tree proposes
+    clusters within `radius` bits, and each proposed cluster is verified exactly on the documents' sets.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [hash_shingles(t, words) for t in texts(b)]
+            fp = np.array([fingerprint(x) for x in h], np.uint64).view(np.int64)
+            sig = np.array([xxhash.xxh64_intdigest(np.unique(x).tobytes()) for x in h], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(fp), "sig": pa.array(sig)})
+
+    own = docs.select("doc_id", "text").where("doc_id is not null")
+    marked = stage(own.mapInArrow(mark, "doc_id long, fp long, sig long"), "marked")
+    nodes = stage(marked.groupBy("sig").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("sig", F.col("m.doc_id").alias("node"), F.col("m.fp").alias("fp")), "nodes")
+    n = wide(docs)
+    dealt = _shards(tables(nodes.count()), nodes).select(F.xxhash64("block", "bits").alias("shard"), "fp", "node").repartition(n, "shard").sortWithinPartitions("shard", "fp", "node")
+    met = stage(dealt.mapInArrow(_clusters(radius), "grp long, node long").distinct(), "clusters")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "data": pa.array([shingle_set(t, words).tobytes() for t in texts(b)], pa.binary())})
+
+    wanted = met.select(F.col("node").alias("doc_id")).distinct()
+    data = own.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, data binary")
+    edges = met.join(data, "node").select("grp", "node", "data").repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified, "u long, v long")
+    comp = components(edges)
+    roots = nodes.join(comp, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(roots, "sig").select("doc_id", "component_id")
+
+
+def drop_duplicates(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """docs with one document of each class of similar_documents(): the one with the smallest doc_id.
+
+    All columns are kept. Rows without a doc_id stay; of rows with one doc_id one stays, the smallest by text; null and
+    empty texts are one class; an empty table gives no rows.
+    """
+    classes = stage(similar_documents(docs, words), "classes")
+    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rest = F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
+        kept = kept.groupBy("doc_id").agg(F.min(rest).alias("_r")).select(*["doc_id" if c == "doc_id" else F.col(f"_r.`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -162,26 +162,25 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool =
     """Score every row of docs by its whole text: doc_id, held_out, score (0 to 1), predicted (1 from 0.5).
 
     Nothing but the text enters a score. A null or empty text has the score of a text without known terms; repeated
-    rows are scored alike; a null doc_id is never held out. keep: all columns of docs stay and score and predicted
-    are named _score and _predicted.
+    rows are scored alike; a null doc_id is never held out. keep: return score, predicted and the whole row as _row.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels, sample))
-    cols = docs.columns if keep else ["doc_id"]
-    names = ("_score", "_predicted") if keep else ("score", "predicted")
+    first = "_row" if keep else "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = shared.value
         terms = Terms(frozenset(fm.index))
         for b in batches:
             p = fm.scores([sorted(fm.index[t] for t in terms(x)) for x in texts(b)])
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in cols} | {names[0]: pa.array(p, pa.float64()), names[1]: pa.array((p >= 0.5).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({first: b.column(first), "score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema)
-    out = (docs if keep else docs.select("doc_id", "text")).mapInArrow(run, f"{given}, {names[0]} double, {names[1]} int")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row") if keep else F.col("doc_id")
+    rows = docs.select(row, "text")
+    out = rows.mapInArrow(run, f"{first} {rows.schema[0].dataType.simpleString()}, score double, predicted int")
     return out if keep else out.select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
-    return score(docs, labels, keep=True).where("_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, labels, keep=True).where("predicted = 0").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
