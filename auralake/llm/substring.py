@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +26,14 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Text of a task that is compared before the shuffle, and text that is hashed or sorted at a time.
 CHUNK, PIECE = 48 << 20, 2 << 20
+#: Where a null doc_id stands in the order.
+FIRST = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 ANCHOR = np.dtype([("hash", "<u8"), ("key", "<i8"), ("at", "<i4"), ("lo", "u1"), ("hi", "u1")])
 SEGMENT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("n", "u1")])
-MARK = np.dtype([("start", "<i4"), ("end", "<i4")])
+MARK = np.dtype([("key", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
 def _power(e: int) -> np.uint64:
@@ -242,41 +243,42 @@ def gather(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return buffer[shift + np.arange(int(sizes.sum()))]
 
 
-class Marks:
-    """Runs to be removed, as rows (key, kind 1, blob)."""
+def mark_records(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    m = np.empty(len(key), MARK)
+    m["key"], m["start"], m["end"] = key, start, end
+    return m
 
-    def __init__(self) -> None:
-        self.key: list[np.ndarray] = []
-        self.start: list[np.ndarray] = []
-        self.end: list[np.ndarray] = []
 
-    def add(self, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        self.key.append(key)
-        self.start.append(start)
-        self.end.append(end)
+def merged(marks: list[np.ndarray]) -> np.ndarray:
+    """Marks sorted by key, with the runs of a document united."""
+    m = np.concatenate([np.empty(0, MARK), *marks])
+    m = m[np.lexsort((m["start"], m["key"]))]
+    if not len(m):
+        return m
+    first = np.concatenate([[True], m["key"][1:] != m["key"][:-1]])
+    # Shift each document beyond the one before, so that one pass unites the runs of all.
+    shift = np.cumsum(first).astype(np.int64) << 33
+    s, e = union(m["start"] + shift, m["end"] + shift)
+    return mark_records(m["key"][first][(s >> 33) - 1], s & 0x1FFFFFFFF, e & 0x1FFFFFFFF)
 
-    def rows(self) -> tuple[list[int], list[bytes]]:
-        if not self.key:
-            return [], []
-        k, s, e = (np.concatenate(x) for x in (self.key, self.start, self.end))
-        o = np.argsort(k, kind="stable")
-        k, s, e = k[o], s[o], e[o]
-        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else np.zeros(1, int)
-        keys, blobs = [], []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            a, b = union(s[lo:hi], e[lo:hi])
-            m = np.empty(len(a), MARK)
-            m["start"], m["end"] = a, b
-            keys.append(int(k[lo]))
-            blobs.append(m.tobytes())
-        return keys, blobs
 
+_ROW = "bucket int, data binary"
 
-_ROW = "bucket int, key long, data binary"
 
+def _rows(kind: bytes, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int32()), "data": pa.array([kind + p[1] for p in parts], pa.binary())})
 
-def _rows(bucket: list[int], key: list[int | None], data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "key": pa.array(key, pa.int64()), "data": pa.array(data, pa.binary())})
+
+def _dealt(kind: bytes, records: np.ndarray, by: str, buckets: int) -> pa.RecordBatch:
+    """Records packed into a row for each bucket of a column, so that rows don't multiply with buckets and keys."""
+    b = np.ascontiguousarray(records[by]).view(np.uint64) % np.uint64(buckets)
+    o = np.argsort(b, kind="stable")
+    records, cuts = records[o], np.searchsorted(b[o], np.arange(buckets + 1))
+    return _rows(kind, [(i, records[cuts[i] : cuts[i + 1]].tobytes()) for i in range(buckets) if cuts[i] < cuts[i + 1]])
+
+
+def _packed(t: pa.Table, kind: bytes) -> list[bytes]:
+    return [x[1:] for x in t["data"].to_pylist() if x[:1] == kind]
 
 
 def _local(buckets: int):
@@ -296,7 +298,7 @@ def _local(buckets: int):
             doc = np.searchsorted(ends, at, "right")
             d, k = np.array(docs, np.int64), np.array(keys, np.int64)
             alive = np.ones(len(h), bool)
-            marks = Marks()
+            marks: list[np.ndarray] = []
             some = repeated(h)
             n, first, owner = hi[some] - lo[some] + 1, lo[some], doc[some]
             for a, z in _batches(h[some], n + LENGTH - 1):
@@ -304,26 +306,21 @@ def _local(buckets: int):
                 body = gather(buffer, first[a:z], size)
                 seg, inner, cover = segment_repeats(body, np.cumsum(size) - size, n[a:z], np.stack([d[own], k[own], first[a:z] - begins[own]]))
                 where = first[a:z][seg] + inner - begins[own[seg]]
-                marks.add(k[own[seg]], where, where + cover)
+                marks.append(mark_records(k[own[seg]], where, where + cover))
                 alive[some[a:z][seg[(inner == 0) & (cover >= size[seg])]]] = False  # an earlier one says all it says
             out = np.empty(int(alive.sum()), ANCHOR)
             out["hash"], out["key"] = h[alive], k[doc[alive]]
             out["at"] = at[alive] - begins[doc[alive]]
             out["lo"], out["hi"] = at[alive] - lo[alive], at[alive] - hi[alive]
-            b = (out["hash"] % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(b, kind="stable")
-            out, cuts = out[o], np.searchsorted(b[o], np.arange(buckets + 1))
-            full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-            yield _rows(full, [None] * len(full), [out[cuts[i] : cuts[i + 1]].tobytes() for i in full])
-            key, blobs = marks.rows()
-            yield _rows([x % buckets for x in key], key, blobs)
+            yield _dealt(b"A", out, "hash", buckets)
+            yield _dealt(b"M", merged(marks), "key", buckets)
 
         for b in batches:
-            for i, k, t in zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist()):
+            for i, k, t in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist()):
                 t = t.encode()
                 if len(t) < LENGTH:
                     continue
-                docs.append(i)
+                docs.append(FIRST if i is None else i)
                 keys.append(k)
                 data.append(t)
                 size += len(t)
@@ -336,23 +333,34 @@ def _local(buckets: int):
     return run
 
 
-def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors that occur more than once, by document; marks pass through. Input sorted by bucket."""
-    for bucket, t in groups(batches, "bucket"):
-        whole = pc.is_null(t["key"])
-        for b in t.filter(pc.invert(whole)).to_batches():
-            yield _rows([0] * b.num_rows, b.column("key").to_pylist(), [b"M" + x for x in b.column("data").to_pylist()])
-        blobs = t.filter(whole)["data"].to_pylist()
-        if not blobs:
-            continue
-        r = np.frombuffer(b"".join(blobs), ANCHOR)
-        r = r[repeated(np.ascontiguousarray(r["hash"]))]
-        r = r[np.argsort(r["key"], kind="stable")]
-        k = r["key"]
-        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]).tolist() if len(k) else [0]
-        for i in range(0, len(cuts) - 1, 5000):
-            some = list(zip(cuts[i : i + 5000], cuts[i + 1 : i + 5001]))
-            yield _rows([0] * len(some), [int(k[lo]) for lo, _ in some], [b"A" + r[lo:hi].tobytes() for lo, hi in some])
+def _matching(buckets: int):
+    """Anchors that occur more than once, by key; marks pass through. Input sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, t in groups(batches, "bucket"):
+            yield _rows(b"M", [(bucket, x) for x in _packed(t, b"M")])
+            blobs = _packed(t, b"A")
+            if blobs:
+                r = np.frombuffer(b"".join(blobs), ANCHOR)
+                yield _dealt(b"A", r[repeated(np.ascontiguousarray(r["hash"]))], "key", buckets)
+
+    return run
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key with its anchors and its marks. Input sorted by bucket of the key."""
+    for _, t in groups(batches, "bucket"):
+        a = np.frombuffer(b"".join(_packed(t, b"A")), ANCHOR)
+        a = a[np.argsort(a["key"], kind="stable")]
+        m = merged([np.frombuffer(b"".join(_packed(t, b"M")), MARK)])
+        keys = np.union1d(a["key"], m["key"])
+        for at in range(0, len(keys), 5000):
+            k = keys[at : at + 5000]
+            cut = [np.searchsorted(x["key"], k, side) for x in (a, m) for side in ("left", "right")]
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(k, pa.int64()), "anchors": pa.array([a[x:y].tobytes() for x, y in zip(cut[0], cut[1])], pa.binary()),
+                "marks": pa.array([m[x:y].tobytes() for x, y in zip(cut[2], cut[3])], pa.binary()),
+            })
 
 
 def _segments(buckets: int):
@@ -371,24 +379,22 @@ def _segments(buckets: int):
             sizes = m["n"].astype(np.int64) + LENGTH - 1
             starts = (np.cumsum(sizes) - sizes)[o]
             m, sizes, cuts = m[o], sizes[o], np.searchsorted(b[o], np.arange(buckets + 1))
-            full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
             data = []
-            for i in full:
+            for i in range(buckets):
                 lo, hi = cuts[i], cuts[i + 1]
-                data.append(int(hi - lo).to_bytes(4, "little") + m[lo:hi].tobytes() + gather(body, starts[lo:hi], sizes[lo:hi]).tobytes())
-            return _rows(full, [None] * len(full), data)
+                if lo < hi:
+                    data.append((i, int(hi - lo).to_bytes(4, "little") + m[lo:hi].tobytes() + gather(body, starts[lo:hi], sizes[lo:hi]).tobytes()))
+            return _rows(b"S", data)
 
         for b in batches:
-            for doc, key, text, blobs in zip(*(b.column(c).to_pylist() for c in ("doc", "key", "text", "blobs"))):
-                for x in blobs:
-                    if x[:1] == b"M":
-                        yield _rows([key % buckets], [key], [x[1:]])
-                mine = b"".join(x[1:] for x in blobs if x[:1] == b"A")
+            marks = np.frombuffer(b"".join(b.column("marks").to_pylist()), MARK)
+            yield _dealt(b"M", marks, "key", buckets)
+            for doc, key, text, mine in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text", "anchors"))):
                 if not mine:
                     continue
                 r = np.frombuffer(mine, ANCHOR)
                 m = np.empty(len(r), SEGMENT)
-                m["hash"], m["doc"], m["key"] = r["hash"], doc, key
+                m["hash"], m["doc"], m["key"] = r["hash"], FIRST if doc is None else doc, key
                 m["at"] = r["at"] - r["lo"].astype(np.int32)
                 m["n"] = r["lo"] - r["hi"] + 1
                 metas.append(m)
@@ -403,42 +409,42 @@ def _segments(buckets: int):
     return run
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of each bucket's segments, by document; other marks pass through. Input sorted by bucket."""
-    for bucket, t in groups(batches, "bucket"):
-        whole = pc.is_null(t["key"])
-        for b in t.filter(pc.invert(whole)).to_batches():
-            yield _rows([0] * b.num_rows, b.column("key").to_pylist(), b.column("data").to_pylist())
-        metas, bodies = [], []
-        for x in t.filter(whole)["data"].to_pylist():
-            n = int.from_bytes(x[:4], "little")
-            metas.append(np.frombuffer(x, SEGMENT, n, 4))
-            bodies.append(np.frombuffer(x, np.uint8, -1, 4 + n * SEGMENT.itemsize))
-        if not metas:
-            continue
-        m, body = np.concatenate(metas), np.concatenate(bodies)
-        sizes = m["n"].astype(np.int64) + LENGTH - 1
-        starts = np.cumsum(sizes) - sizes
-        o = np.argsort(m["hash"], kind="stable")
-        m, sizes, starts = m[o], sizes[o], starts[o]
-        marks = Marks()
-        for a, z in _batches(np.ascontiguousarray(m["hash"]), sizes):
-            g = m[a:z]
-            text = gather(body, starts[a:z], sizes[a:z])
-            at = g["at"].astype(np.int64)
-            seg, inner, cover = segment_repeats(text, np.cumsum(sizes[a:z]) - sizes[a:z], g["n"].astype(np.int64), np.stack([g["doc"], g["key"], at]))
-            marks.add(g["key"][seg].astype(np.int64), at[seg] + inner, at[seg] + inner + cover)
-        key, blobs = marks.rows()
-        for i in range(0, len(key), 5000):
-            yield _rows([0] * len(key[i : i + 5000]), key[i : i + 5000], blobs[i : i + 5000])
+def _compared(buckets: int):
+    """Marks of each bucket's segments, by key; other marks pass through. Input sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, t in groups(batches, "bucket"):
+            yield _rows(b"M", [(bucket, x) for x in _packed(t, b"M")])
+            metas, bodies = [], []
+            for x in _packed(t, b"S"):
+                n = int.from_bytes(x[:4], "little")
+                metas.append(np.frombuffer(x, SEGMENT, n, 4))
+                bodies.append(np.frombuffer(x, np.uint8, -1, 4 + n * SEGMENT.itemsize))
+            if not metas:
+                continue
+            m, body = np.concatenate(metas), np.concatenate(bodies)
+            sizes = m["n"].astype(np.int64) + LENGTH - 1
+            starts = np.cumsum(sizes) - sizes
+            o = np.argsort(m["hash"], kind="stable")
+            m, sizes, starts = m[o], sizes[o], starts[o]
+            marks: list[np.ndarray] = []
+            for a, z in _batches(np.ascontiguousarray(m["hash"]), sizes):
+                g = m[a:z]
+                text = gather(body, starts[a:z], sizes[a:z])
+                at = g["at"].astype(np.int64)
+                seg, inner, cover = segment_repeats(text, np.cumsum(sizes[a:z]) - sizes[a:z], g["n"].astype(np.int64), np.stack([g["doc"], g["key"], at]))
+                marks.append(mark_records(g["key"][seg], at[seg] + inner, at[seg] + inner + cover))
+            yield _dealt(b"M", merged(marks), "key", buckets)
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[], [], [], []]
-        for text, blobs in zip(b.column("text").to_pylist(), b.column("blobs").to_pylist()):
+        for text, blob in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
             data = text.encode()
-            m = np.frombuffer(b"".join(blobs or []), MARK)
+            m = np.frombuffer(blob or b"", MARK)
             s, e = union(m["start"].astype(np.int64), m["end"].astype(np.int64))
             h, at = hashlib.sha256(), 0
             view = memoryview(data)
@@ -453,21 +459,24 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts (doc_id, doc, key, text) and, by key, the blobs of runs to be removed from them."""
+    """The texts (doc_id, key, text) and, by key, the runs to be removed from them (marks).
+
+    Both joins read the texts with the same columns, so the shuffle of the texts is done once and reused.
+    """
     tune(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
     n = wide(docs)
 
-    def by_bucket(df: DataFrame) -> DataFrame:
+    def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
     def by_key(df: DataFrame) -> DataFrame:
-        return df.groupBy("key").agg(F.collect_list("data").alias("blobs"))
+        return dealt(df).mapInArrow(_by_key, "key long, anchors binary, marks binary")
 
-    found = by_bucket(keyed.select("doc", "key", "text").mapInArrow(_local(n), _ROW)).mapInArrow(_matching, _ROW)
-    around = keyed.join(by_key(found), "key").select("doc", "key", "text", "blobs").mapInArrow(_segments(n), _ROW)
-    return keyed, by_key(by_bucket(around).mapInArrow(_compared, _ROW))
+    found = by_key(dealt(keyed.mapInArrow(_local(n), _ROW)).mapInArrow(_matching(n), _ROW))
+    around = keyed.join(found, "key").select("doc_id", "key", "text", "anchors", "marks").mapInArrow(_segments(n), _ROW)
+    return keyed, by_key(dealt(around).mapInArrow(_compared(n), _ROW)).select("key", "marks")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -479,4 +488,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     each; different texts of one id are ordered by a hash.
     """
     keyed, marks = removed_runs(docs)
-    return keyed.join(marks, "key", "left").select("doc_id", "text", "blobs").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return keyed.join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
