@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,11 +21,18 @@ from pyspark.sql import DataFrame
 from .common import texts, tune, wide
 
 #: Fixed values of the vocabulary file's format: how its pre-tokenizer splits, and the mark of a word's end.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+"
 WORD_END = "</w>"
 #: Characters at which str.split() breaks a text but the vocabulary's white space does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: White space as the vocabulary has it.
+WHITE = regex.compile(r"[^\S\x1c-\x1f]+")
 LAST = 256  # added to a byte that ends its word
+#: In Latin-1 texts without these, which are numbers but no digits, Python's classes are the vocabulary's.
+ODD = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be" + NOT_SPACE
+LATIN_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: A word's first bytes, whose table of prefixes is kept for other words that begin alike.
+HEAD = 7
 
 
 def byte_chars() -> list[str]:
@@ -123,6 +131,7 @@ class Vocabulary:
         made = [(self.symbols(t), i) for t, i in ids.items() if i in self.parts or len(self.symbols(t)) == 1]
         self.automaton = SuffixAutomaton(made)
         self.fits: dict[int, bool] = {}
+        self.heads: dict[bytes, tuple[int, int, list[int], list[int]]] = {}
         self.find = regex.compile(PIECE).findall
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
@@ -162,55 +171,79 @@ class Vocabulary:
             self.fits[key] = known
         return known
 
-    def encode_symbols(self, word: list[int]) -> list[int]:
-        """Ids of one word: the unique last token of every prefix, then the back-pointers."""
+    def prefixes(self, word: list[int], state: int, matched: int, last: list[int], size: list[int]) -> tuple[int, int]:
+        """Go on with the table of prefixes: append the unique last token, and its length, of each longer prefix."""
         auto = self.automaton
         nxt, link, length, tokens = auto.next, auto.link, auto.length, auto.tokens
-        state, matched = 0, 0
-        last = [-1] * (len(word) + 1)
-        size = [0] * (len(word) + 1)
         fits, compatible = self.fits.get, self.compatible
-        for i, c in enumerate(word, 1):
-            while state and c not in nxt[state]:
+        for i, c in enumerate(word, len(last)):
+            to = nxt[state].get(c)
+            while to is None and state:
                 state = link[state]
                 matched = length[state]
-            if c in nxt[state]:
-                state = nxt[state][c]
+                to = nxt[state].get(c)
+            if to is not None:
+                state = to
                 matched += 1
+            token = n = 0
             for n, t in tokens[state]:
                 if n > matched:
                     continue
-                before = last[i - n]
                 if i == n:
-                    ok = True
-                elif before < 0:
-                    continue
-                else:
-                    ok = fits(before << 20 | t)
-                    if ok is None:
-                        ok = compatible(before, t)
+                    token = t
+                    break
+                before = last[i - n]
+                ok = fits(before << 20 | t)
+                if ok is None:
+                    ok = compatible(before, t)
                 if ok:
-                    last[i], size[i] = t, n
+                    token = t
                     break
-        out, i = [], len(word)
+            last.append(token)
+            size.append(n)
+        return state, matched
+
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one piece of the pre-tokenizer: the table of its prefixes, then the back-pointers."""
+        data = word.encode()
+        s = list(data)
+        s[-1] += LAST
+        if len(s) > HEAD + 1:
+            head = self.heads.get(data[:HEAD])
+            if head is None:
+                last, size = [0], [0]
+                head = (*self.prefixes(s[:HEAD], 0, 0, last, size), last, size)
+                if len(self.heads) > 100_000:
+                    self.heads.clear()
+                self.heads[data[:HEAD]] = head
+            state, matched, last, size = head
+            last, size = last.copy(), size.copy()
+            self.prefixes(s[HEAD:], state, matched, last, size)
+        else:
+            last, size = [0], [0]
+            self.prefixes(s, 0, 0, last, size)
+        out, i = [], len(s)
         while i:
             out.append(last[i])
             i -= size[i]
         return out[::-1]
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one piece of the pre-tokenizer."""
-        s = list(word.encode())
-        s[-1] += LAST
-        return self.encode_symbols(s)
-
     def normalise(self, text: str) -> str:
-        return text.lower() if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        """Normal form, white space as a space, lower case one by one."""
+        text = WHITE.sub(" ", unicodedata.normalize("NFC", text))
+        return text.lower() if text.isascii() else "".join(c.lower() for c in text)
+
+    def pieces(self, text: str) -> list[str]:
+        return self.find(self.normalise(text))
+
 
-    def encode_plain(self, text: str, word=None) -> list[int]:
-        """Ids of a text without special tokens."""
-        word = word or self.encode_word
-        return [i for w in self.find(self.normalise(text)) for i in word(w)]
+def latin_pieces(text: str) -> list[str] | None:
+    """The pieces of a Latin-1 text, by Python's faster patterns; None for other texts."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if any(c in text for c in ODD) else LATIN_PIECE.findall(text.lower())
 
 
 class Memo(dict):
@@ -232,17 +265,15 @@ class Memo(dict):
 
 
 class Encoder:
-    """Encodes texts to space-joined decimal ids, with memos of words and of space-delimited chunks."""
+    """Encodes texts to space-joined decimal ids, with a memo of words."""
 
-    def __init__(self, text: str, cap: int = 150_000) -> None:
+    def __init__(self, text: str, cap: int = 600_000) -> None:
         self.v = Vocabulary(text)
-        self.words = Memo(lambda w: self.v.encode_word(w), cap // 2)
-        self.chunks = Memo(lambda c: " ".join(map(str, self.v.encode_plain(c, self.words.__getitem__))), cap)
+        self.words = Memo(lambda w: " ".join(map(str, self.v.encode_word(w))), cap)
 
     def plain(self, text: str) -> str:
-        if any(c in text for c in NOT_SPACE):
-            return " ".join(filter(None, map(self.chunks.__getitem__, regex.split(r"[^\S\x1c-\x1f]+", text))))
-        return " ".join(map(self.chunks.__getitem__, text.split()))
+        pieces = latin_pieces(text)
+        return " ".join(map(self.words.__getitem__, self.v.pieces(text) if pieces is None else pieces))
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by one space; strings of special tokens in the text become those tokens."""
