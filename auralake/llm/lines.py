@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import UnionFind, components, groups, stage, tune, wide
+from .simhash import similar_links
 from .substring import mixed, string_hashes
 
 #: Characters of a shingle, least similarity, bands and signature values in a band. At 0.8 a pair is missed with
@@ -21,9 +22,9 @@ from .substring import mixed, string_hashes
 SHINGLE, SIMILAR, BANDS, ROWS = 7, 0.8, 12, 5
 BINS = BANDS * ROWS
 #: Text of which one task compares exact copies before the shuffle, and code points that are hashed at a time.
-CHUNK, PIECE = 32 << 20, 1 << 20
+CHUNK, PIECE = 32 << 20, 1 << 15
 #: Members of a band that are verified together; more are verified in pairs of blocks.
-BLOCK = 10_000
+BLOCK = 1_000
 
 LINE = np.dtype([("h", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("line", "<i4")])
 BAND = np.dtype([("band", "<i8"), ("h", "<i8")])
@@ -36,47 +37,34 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def shingles(line: str) -> set[str]:
-    """The shingles of a normal line; a line shorter than one is its own."""
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-
-
-def similar(a: set, b: set) -> bool:
-    """Jaccard similarity of SIMILAR or more, exactly."""
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= SIMILAR * (len(a) + len(b) - both)
-
-
 def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash: each shingle's hash falls into one of BINS, which keep their smallest; an empty bin
     borrows from the next full one, marked by the distance."""
-    out = np.full((len(lines), BINS), np.iinfo(np.uint64).max)
+    none = np.uint32(0xFFFFFFFF)
+    out = np.full((len(lines), BINS), none)
     at = 0
-    while at < len(lines):
+    while at < len(lines):  # pieces that stay in a processor's cache
         end, size = at, 0
         while end < len(lines) and (end == at or size < PIECE):
             size += max(len(lines[end]), SHINGLE) + 1
             end += 1
         padded = [x.ljust(SHINGLE, "\0") for x in lines[at:end]]
         a = np.frombuffer("\n".join(padded).encode("utf-32-le"), "<u4")
-        n = np.array([len(x) for x in padded]) - SHINGLE + 1
-        begin = np.cumsum(n + SHINGLE) - n - SHINGLE
+        n = np.fromiter(map(len, padded), np.int64, len(padded)) + 1  # with the line feed
         h = mixed(string_hashes(a, SHINGLE))
-        row = np.repeat(np.arange(len(n)), n)
-        h = h[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        part = np.full(len(n) * BINS, np.iinfo(np.uint64).max)
-        np.minimum.at(part, row * BINS + (h % np.uint64(BINS)).astype(np.int64), h // np.uint64(BINS))
-        out[at:end] = part.reshape(-1, BINS)
+        cell = np.repeat(np.arange(len(n)) * BINS, n)[: len(h)] + ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+        value = h.astype(np.uint32)
+        across = (np.cumsum(n)[:-1, None] - np.arange(1, SHINGLE + 1)).ravel()  # shingles over the end of a line
+        value[across] = none
+        np.minimum.at(out[at:end].reshape(-1), cell, value)
         at = end
-    empty = out == np.iinfo(np.uint64).max
-    fill = out.copy()
+    empty = out == none
+    fill = out.astype(np.uint64)
     for step in range(1, BINS):
         if not empty.any():
             break
         near = np.roll(out, -step, axis=1)
-        ok = empty & (near != np.iinfo(np.uint64).max)
+        ok = empty & (near != none)
         fill[ok] = near[ok] + np.uint64(step << 40)
         empty &= ~ok
     return fill
@@ -228,20 +216,32 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "text": pa.array(out, pa.string())})
 
 
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted hashes of each line's distinct shingles."""
+    padded = [x.ljust(SHINGLE, "\0") for x in lines]
+    n = np.fromiter(map(len, padded), np.int64, len(padded)) + 1
+    h = mixed(string_hashes(np.frombuffer("\n".join(padded).encode("utf-32-le"), "<u4"), SHINGLE))
+    ends = np.cumsum(n)
+    return [np.unique(h[e - k : e - SHINGLE]) for e, k in zip(ends.tolist(), n.tolist())]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each group, by exact similarity; lines that are already connected aren't compared again."""
+    """Links of each group, by exact similarity of its lines' sets of (64-bit hashes of) shingles."""
+    u: list[int] = []
+    v: list[int] = []
     for _, t in groups(batches, "grp"):
+        h = t["h"].to_pylist()
         uf = UnionFind()
-        held: list[tuple[int, set]] = []
-        for h, text in zip(t["h"].to_pylist(), t["text"].to_pylist()):
-            s = shingles(text)
-            for other, o in held:
-                if uf.find(h) != uf.find(other) and similar(s, o):
-                    uf.union(h, other)
-            held.append((h, s))
-        pairs = [(x, r) for x in uf.up if (r := uf.find(x)) != x]
-        if pairs:
-            yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+        for i, j in similar_links(_sets(t["text"].to_pylist()), SIMILAR):
+            uf.union(h[i], h[j])
+        for x in uf.up:
+            if (r := uf.find(x)) != x:
+                u.append(x)
+                v.append(r)
+        if len(u) >= 10_000:
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            u, v = [], []
+    yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,15 +199,16 @@ def shingle_set(text: str, words: int = STAGE_WORDS) -> np.ndarray:
 
 
 def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> Iterator[tuple[int, int]]:
-    """Pairs of sets with a Jaccard similarity of `least` or more, without those that add nothing to the components."""
+    """Links between sets from which the components are those of all pairs with a Jaccard similarity of `least` or more."""
     g = len(sets)
-    if g <= 8:
-        plain = [set(s.tolist()) for s in sets]
+    if g <= 4:
         for j in range(g):
             for i in range(j):
-                both = len(plain[i] & plain[j])
-                if both >= least * (len(plain[i]) + len(plain[j]) - both):
-                    yield i, j
+                a, b = len(sets[i]), len(sets[j])
+                if min(a, b) >= least * max(a, b):
+                    both = a + b - len(np.unique(np.concatenate([sets[i], sets[j]])))
+                    if both >= least * (a + b - both):
+                        yield i, j
         return
     size = np.array([len(s) for s in sets])
     values, where, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -221,9 +222,19 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> Iterator[tu
         part = (col >= a) & (col < a + 4096)
         m[owner[part], col[part] - a] = 1
         both += m @ m.T
-    ok = np.triu(both >= least * (size[:, None] + size - both), 1)
-    for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
-        yield i, j
+    ok = np.zeros((g, g), bool)
+    for i in range(g):  # by rows: few temporaries
+        ok[i] = both[i] >= least * (size[i] + size - both[i].astype(np.float64))
+    label = np.arange(g)  # the smallest member that is reachable
+    while True:
+        new = np.array([label[row].min(initial=g) for row in ok])
+        new = np.minimum(label, new)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for i in np.flatnonzero(label != np.arange(g)).tolist():
+        yield int(label[i]), i
 
 
 def _clusters(radius: int):

@@ -24,8 +24,9 @@ from .common import groups, tune, wide
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-#: Text of a task that is compared before the shuffle, and text that is hashed or sorted at a time.
-CHUNK, PIECE = 48 << 20, 2 << 20
+#: Text of a task that is compared before the shuffle; text that is hashed at a time, in a processor's cache; text of
+#: segments that are sorted at a time, about.
+CHUNK, PIECE, SORTED = 48 << 20, 1 << 16, 1 << 18
 #: Where a null doc_id stands in the order.
 FIRST = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
@@ -227,11 +228,11 @@ def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _batches(h: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts sorted groups into ranges of about PIECE bytes, never within a group."""
+    """Cuts sorted groups into ranges of about SORTED bytes, never within a group."""
     total = np.cumsum(sizes)
     a, n = 0, len(h)
     while a < n:
-        z = int(np.searchsorted(total, (total[a - 1] if a else 0) + PIECE)) + 1
+        z = int(np.searchsorted(total, (total[a - 1] if a else 0) + SORTED)) + 1
         z = n if z >= n else int(np.searchsorted(h, h[z - 1], "right"))
         yield a, min(z, n)
         a = z
