@@ -8,7 +8,9 @@ the pieces of its length, which is computed in distributed, salted groups.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import NOT_SPACE, Memo
+from .bpe import Memo, byte_chars, latin_pieces
 from .common import stage, texts, tune
 
 CAPACITY = 4096
@@ -161,24 +163,31 @@ class Plan:
 
 
 class TokenBytes:
-    """Ids by the tokenizers library, as little-endian bytes; chunks between white space are memoised."""
+    """Ids by the tokenizers library, as little-endian bytes; the words of Latin-1 texts are memoised."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, cap: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
         self.tok = Tokenizer.from_str(text)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.chunks = Memo(self.whole, 200_000)
+        self.model = self.tok.model
+        chars = byte_chars()
+        self.shown = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(256)}
+        self.words = Memo(self.word, cap)
+
+    def word(self, piece: str) -> bytes:
+        """Ids of a piece as the pre-tokenizer hands it to the library's model: its bytes as characters."""
+        return array("I", [t.id for t in self.model.tokenize(piece.translate(self.shown))]).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or any(c in text for c in NOT_SPACE):
-            return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        pieces = None if any(s in text for s in self.special) else latin_pieces(text)
+        return self.whole(text) if pieces is None else b"".join(map(self.words.__getitem__, pieces))
 
 
 _TOKENS: dict[int, TokenBytes] = {}
