@@ -157,3 +157,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if bad.isEmpty() and twice.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+#: Bits of a membership table: 2 MB, at most MEMBER_BITS / 64 rows, whatever it is made from.
+MEMBER_BITS = 1 << 24
+
+
+def membership(ids: DataFrame, column: str) -> DataFrame:
+    """A hashed bit table of a column's values (word, mask): of fixed size, so that it may be broadcast."""
+    h = F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS))
+    bits = ids.select(F.shiftright(h, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), {MEMBER_BITS}) & 63 as int))").alias("bit"))
+    return stage(bits.groupBy("word").agg(F.bit_or("bit").alias("mask")), "members")
+
+
+def maybe_in(df: DataFrame, column: str, members: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose value may be in the table, or (inside=False) those whose value is surely not. No shuffle of df."""
+    h = F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(MEMBER_BITS))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.shiftright(h, 6).alias("word"), h.bitwiseAND(63).cast("int").alias("_bit"))
+    got = row.join(F.broadcast(members), "word", "inner" if inside else "left")
+    is_set = F.expr("shiftright(mask, _bit) & 1 = 1")
+    return got.where(is_set if inside else ~F.coalesce(is_set, F.lit(False))).select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, groups, stage, texts, tune, wide
+from .common import UnionFind, components, groups, maybe_in, membership, stage, texts, tune, wide
 
 SEED = 42
 #: Members of a shard above which it is cut again by the bits that its members don't share.
@@ -324,8 +324,9 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
         for b in batches:
             yield pa.RecordBatch.from_pydict({"node": b.column("node"), "data": pa.array([shingle_set(t, words).tobytes() for t in texts(b)], pa.binary())})
 
-    wanted = met.select(F.col("node").alias("doc_id")).distinct()
-    data = own.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, data binary")
+    # The texts stay where they are: a bit table of fixed size picks those that are needed, and the join is exact.
+    wanted = maybe_in(own, "doc_id", membership(met, "node"))
+    data = wanted.select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, data binary")
     edges = met.join(data, "node").select("grp", "node", "data").repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified, "u long, v long")
     comp = components(edges)
     roots = nodes.join(comp, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
@@ -339,8 +340,12 @@ def drop_duplicates(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     empty texts are one class; an empty table gives no rows.
     """
     classes = stage(similar_documents(docs, words), "classes")
-    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = stage(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    some = docs.where("doc_id is not null")
+    members = membership(gone, "doc_id")
+    # Rows that surely stay aren't shuffled; those that a bit table of fixed size can't tell are, by an exact join.
+    kept = maybe_in(some, "doc_id", members).join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.unionByName(maybe_in(some, "doc_id", members, inside=False))
     if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():
         rest = F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
         kept = kept.groupBy("doc_id").agg(F.min(rest).alias("_r")).select(*["doc_id" if c == "doc_id" else F.col(f"_r.`{c}`") for c in docs.columns])
