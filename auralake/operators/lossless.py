@@ -4,6 +4,7 @@ is encoded wherever it lies: no shuffle, no order."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,8 +50,8 @@ class Bits:
         return np.packbits(np.concatenate(self.parts)).tobytes() if self.parts else b""
 
 
-def _crc(data: bytes, width: int, polynomial: int) -> int:
-    """Checksum from zero, a byte at a time through a table made from the polynomial."""
+@lru_cache
+def _table(width: int, polynomial: int) -> list[int]:
     top, mask = 1 << (width - 1), (1 << width) - 1
     table = []
     for b in range(256):
@@ -58,6 +59,12 @@ def _crc(data: bytes, width: int, polynomial: int) -> int:
         for _ in range(8):
             c = (c << 1 ^ polynomial if c & top else c << 1) & mask
         table.append(c)
+    return table
+
+
+def _crc(data: bytes, width: int, polynomial: int) -> int:
+    """Checksum from zero, a byte at a time through a table made from the polynomial."""
+    table, mask = _table(width, polynomial), (1 << width) - 1
     crc = 0
     for b in data:
         crc = (crc << 8 & mask) ^ table[(crc >> (width - 8)) ^ b]
