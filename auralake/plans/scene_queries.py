@@ -9,7 +9,9 @@ from auralake.functions import codes as C
 from auralake.functions import geometry as G
 from auralake.functions import levels as L
 from auralake.operators import clustering as K
+from auralake.operators import lossless as X
 from auralake.operators import scene as S
+from auralake.operators import speech as P
 from auralake.plans.queries import E, _events, _r, _table, query
 
 SPEAKERS = {"L": (-1.0, 1.0, 0.0), "R": (1.0, 1.0, 0.0), "C": (0.0, 1.0, 0.0), "Ls": (-1.0, -1.0, 0.0), "Rs": (1.0, -1.0, 0.0), "Ltm": (-1.0, 0.0, 1.0), "Rtm": (1.0, 0.0, 1.0)}
@@ -227,7 +229,46 @@ def grid_places(spark, sf_dir):
     return e.groupBy("label").agg(F.count_distinct(F.struct("gx", "gz")).alias("places"), F.bool_and(F.col("gz") == 7).alias("level"))
 
 
+@query(f"""WITH v AS (SELECT programme, i, i - row_number() OVER (PARTITION BY programme ORDER BY i) AS run, CASE WHEN i - lag(i) OVER (PARTITION BY programme ORDER BY i) <= 6 THEN 0 ELSE 1 END AS cut FROM {_F} WHERE event_type = 'view'),
+    s AS (SELECT *, sum(cut) OVER (PARTITION BY programme ORDER BY i) AS session FROM v), r AS (SELECT programme, session, run, min(i) AS a, max(i) AS b, count(*) AS n FROM s GROUP BY ALL)
+    SELECT programme, min(CASE WHEN n >= 3 THEN a END) AS opened, max(b) + 5 AS closed FROM r GROUP BY programme, session HAVING min(CASE WHEN n >= 3 THEN a END) IS NOT NULL""")
+def speech_gate(spark, sf_dir):
+    return P.speech_gate(_frames(spark, sf_dir), ["programme"], "i", F.col("event_type") == "view", 3, 5)
+
+
+@query(f"""WITH s AS (SELECT programme, i // 10 AS block, count(*) AS n, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS v, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0 END) >= 0.5 AS o FROM {_F} GROUP BY 1, 2 HAVING count(*) = 10)
+    SELECT a.programme, a.block FROM s a JOIN s b ON a.programme = b.programme AND b.block = a.block + 1 JOIN s c ON a.programme = c.programme AND c.block = a.block + 2 JOIN s d ON a.programme = d.programme AND d.block = a.block + 3
+    WHERE a.o AND b.o AND c.o AND d.o AND a.v > 0 AND d.v > 0 AND a.v + b.v + c.v + d.v >= 10""")
+def dialogue_blocks(spark, sf_dir):
+    f = _frames(spark, sf_dir).withColumns({"voiced": F.col("event_type") == "view", "opened": F.col("event_type") != "error"})
+    return P.dialogue_blocks(f, ["programme"], "i", "voiced", "opened")
+
+
+@query(f"""SELECT a.programme, a.i, round(sum(0.05 * pow(0.95, a.i - b.i) * b.value) + 1e-9, 5) AS level FROM {_F} a JOIN {_F} b ON a.programme = b.programme AND b.i <= a.i GROUP BY 1, 2""")
+def leaky_integrator(spark, sf_dir):
+    # Early levels can be exact decimal ties, whose binary neighbours differ with the order of adding: 1e-9 sends them up.
+    return P.follow(_frames(spark, sf_dir), "programme", "i", "value", 0.05).select("programme", "i", _r(F.col("y") + 1e-9).alias("level"))
+
+
+def path_segments(spark, sf_dir):
+    """Positions of each user between updates: an ordered fold without SQL, tested by example."""
+    e = _events(spark, sf_dir).select("user_id", F.floor(F.col("us") / 1000).alias("at"), "value", (F.pmod("event_id", F.lit(7)) * 3_600_000).cast("long").alias("ramp"))
+    return P.path_segments(e, "user_id", "at", ["value"], "ramp")
+
+
+def lossless_frames(spark, sf_dir):
+    """Frames of 256 quantities of each supplier: no SQL, tested by decoding."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    li = _table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("int").alias("x"), (F.row_number().over(w) - 1).alias("i"))
+    b = li.groupBy(F.col("l_suppkey").cast("string").alias("file"), F.floor(F.col("i") / 256).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
+    return X.encode_blocks(b.select("file", "block", F.array(F.col("s.x")).alias("channels")), 16).select("file", "block", "n_bytes")
+
+
 def seed_blocks(spark, sf_dir):
     """Four seeds of each label's block of 64 vectors: no SQL, as each choice depends on the ones before."""
     d = _xyz(spark, sf_dir).select((F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 64)).cast("long").alias("block"), "vec_id", G.unit(F.col("x"), F.col("y"), F.col("z")).alias("d"), F.abs("z").alias("e"))
     return K.seed_blocks(d, "block", "vec_id", "d", "e", 4)
+
+
+#: Queries that SQL can't express.
+UNSPOKEN = {f.__name__: f for f in (path_segments, lossless_frames, seed_blocks)}
