@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from auralake.sources import adm, caf, masters, wav
+from auralake.sources import adm, caf, masters, matroska, wav
 
 STREAM = """sampleRate: 48000
 events:
@@ -102,3 +102,17 @@ def test_bw64_description(tmp_path):
         adm.description(str(tmp_path / "c.wav"))
     with pytest.raises(ValueError):
         adm.parse_chna(chna[:30])
+
+
+@pytest.mark.parametrize("open_ended", [False, True])
+def test_matroska(spark, tmp_path, open_ended):
+    frames = [(t * 400, bytes([t % 256]) * (t * 7 % 300)) for t in range(100)]
+    (tmp_path / "a.mka").write_bytes(matroska.encode(frames, "A_FLAC", open_ended=open_ended))
+    spark.dataSource.register(matroska.MatroskaSource)
+    df = spark.read.format("matroska_blocks").option("clustersPerPartition", 3).load(str(tmp_path))
+    rows = df.orderBy("ticks").collect()
+    assert [(r.ticks, bytes(r.payload)) for r in rows] == frames and all(r.track == 1 and r.key for r in rows)
+    assert df.rdd.getNumPartitions() == 3
+    (tmp_path / "b.mka").write_bytes(b"RIFF")
+    with open(tmp_path / "b.mka", "rb") as f, pytest.raises(ValueError):
+        matroska.clusters(f, 4)
