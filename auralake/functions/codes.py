@@ -87,25 +87,26 @@ def clock(seconds: Column) -> Column:
 def time_to_samples(text: Column, rate: int) -> Column:
     """Sample position of hh:mm:ss.fraction or hh:mm:ss.<n>S<d>: round half up, in wide decimals; null if it isn't a time."""
     wide = "decimal(38,0)"
-    clock_part = r"^(\d{1,9}):(\d{2}):(\d{2})"
-    whole = sum(
-        (F.try_to_number(F.regexp_extract(text, clock_part, i), F.lit("999999999")).cast(wide) * k for i, k in ((2, 60), (3, 1))),
-        F.try_to_number(F.regexp_extract(text, clock_part, 1), F.lit("999999999")).cast(wide) * 3600,
+    clock_part = r"^\d{1,9}:\d{2}:\d{2}"
+    parts = F.split(text, "[:.S]")
+    fraction = text.rlike(clock_part + r"\.\d{1,18}S\d{1,18}$")
+    nanos = F.rpad(F.substring(F.coalesce(F.get(parts, F.lit(3)), F.lit("")), 1, 9), 9, "0")
+    read = F.struct(
+        *[F.get(parts, F.lit(i)).try_cast("decimal(9,0)").alias(c) for i, c in enumerate("hms")],
+        F.when(fraction, F.get(parts, F.lit(3))).otherwise(nanos).try_cast("decimal(18,0)").alias("n"),
+        F.when(fraction, F.get(parts, F.lit(4))).otherwise(F.lit(str(NANOS))).try_cast("decimal(18,0)").alias("d"),
     )
-    decimal = F.regexp_extract(text, clock_part + r"(?:\.(\d+))?$", 4)
-    nanos = F.rpad(F.substring(decimal, 1, 9), 9, "0").cast(wide)
-    top, bottom = (F.regexp_extract(text, clock_part + r"\.(\d{1,18})S(\d{1,18})$", i) for i in (4, 5))
-    is_decimal, is_fraction = text.rlike(clock_part + r"(\.\d+)?$"), text.rlike(clock_part + r"\.\d{1,18}S\d{1,18}$")
-
-    def rounded(n: Column, d: Column) -> Column:
-        scaled = n * F.lit(rate).cast("decimal(10,0)")
-        fits = scaled.cast("double") / F.when(d != 0, d).cast("double") < 9e18
-        return F.when(d == 0, F.lit(0).cast(wide)).when(fits, F.call_function("div", scaled * 2 + d, F.when(fits, d * 2)).cast(wide)).otherwise(F.lit(LONG_MAX).cast(wide))
-
-    part = F.when(is_fraction, rounded(F.when(is_fraction, top).cast("decimal(18,0)"), F.when(is_fraction, bottom).cast("decimal(18,0)"))).when(
-        is_decimal, rounded(F.when(decimal == "", F.lit(0)).otherwise(nanos).cast("decimal(18,0)"), F.lit(NANOS).cast("decimal(18,0)"))
-    )
-    return F.when(is_fraction | is_decimal, F.least(whole * rate + part, F.lit(LONG_MAX)).cast("long"))
+
+    def samples(t: Column) -> Column:
+        whole = (t["h"] * 3600 + t["m"] * 60 + t["s"]).cast(wide) * rate
+        scaled = t["n"] * F.lit(rate).cast("decimal(10,0)")
+        fits = scaled.cast("double") < t["d"].cast("double") * 9e18
+        part = F.when(t["d"] == 0, F.lit(0).cast(wide)).when(fits, F.call_function("div", scaled * 2 + t["d"], t["d"] * 2).cast(wide)).otherwise(F.lit(LONG_MAX).cast(wide))
+        return F.least(whole + part, F.lit(LONG_MAX).cast(wide)).cast("long")
+
+    # The parts are bound to a lambda's variable, so that each is read from the text once.
+    is_time = fraction | text.rlike(clock_part + r"(\.\d+)?$")
+    return F.when(is_time, F.transform(F.array(read), samples)[0])
 
 
 @F.pandas_udf(IntegerType())

@@ -155,15 +155,16 @@ def fold_gains(df: DataFrame, x: str, y: str, rows: list[tuple[float, float, dic
         n = norm(parts)
         return F.when(n > 0, to / n).otherwise(to)
 
-    def times(values: str, by: str) -> Column:
-        return F.transform(values, lambda v: v * F.col(by))
+    def times(values: str, by: str, n: int) -> Column:
+        # Not a lambda over by: the optimiser would inline it there and work it out for each element.
+        return F.zip_with(values, F.array_repeat(by, n), lambda v, b: v * b)
 
     scaled = {"_deep": F.array(*[fade(F.col(y) - depth) for depth, _, _ in rows])}
     scaled |= {f"_wide{i}": F.array(*[fade((F.col(x) - at) / spacing) for at in speakers.values()]) for i, (_, spacing, speakers) in enumerate(rows)}
     out = df.withColumns(scaled)
     out = out.withColumns({f"_by{i}": F.col("_deep")[i] * normed(F.col("_deep"), F.lit(1.0)) * normed(F.col(f"_wide{i}"), F.lit(1.0)) for i in range(len(rows))})
-    raw = F.concat(*[times(f"_wide{i}", f"_by{i}") for i in range(len(rows))])
+    raw = F.concat(*[times(f"_wide{i}", f"_by{i}", len(speakers)) for i, (_, _, speakers) in enumerate(rows)])
     out = out.withColumn("_raw", raw).withColumn("_to", normed(F.col("_raw"), scale))
     names = F.array(*[F.lit(s) for _, _, speakers in rows for s in speakers])
-    gains = F.map_from_arrays(names, times("_raw", "_to"))
+    gains = F.map_from_arrays(names, times("_raw", "_to", sum(len(s) for _, _, s in rows)))
     return out.withColumn("gains", gains).drop("_raw", "_to", *scaled, *[f"_by{i}" for i in range(len(rows))])

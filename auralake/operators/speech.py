@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,17 +74,32 @@ def path(updates: list[tuple[int, tuple[float, ...], int]]) -> list[tuple[int, i
 
 def path_segments(updates: DataFrame, key: str, at: str, state: list[str], ramp: str) -> DataFrame:
     """path() of each key: (key, start, end, and of each state column c: c_from, c_to). An ordered fold, as an
-    interrupted ramp depends on all before it; a key is one object of one programme. Rows with nulls are left out."""
+    interrupted ramp depends on all before it; a key is one object of one programme. Rows come sorted by key, and one
+    key's updates are held at a time. Rows with nulls are left out."""
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.dropna().sort_values([at, ramp, *state])
-        rows = path([(int(a), tuple(map(float, s)), int(r)) for a, s, r in zip(g[at], g[state].to_numpy(), g[ramp])])
-        k = group[key].iloc[0]
-        return pd.DataFrame([(k, a, b, *[x for pair in zip(p, q) for x in pair]) for a, b, p, q in rows], columns=names).astype({"end": "Int64"})
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = None, []
+
+        def segments() -> list[tuple]:
+            return [(held, a, b, *[x for pair in zip(p, q) for x in pair]) for a, b, p, q in path(rows)]
+
+        for batch in batches:
+            out: list[tuple] = []
+            for k, a, r, *s in zip(batch[key], batch[at], batch[ramp], *[batch[c] for c in state]):
+                if k != held:
+                    out += segments()
+                    held, rows = k, []
+                rows.append((int(a), tuple(map(float, s)), int(r)))
+            yield table(out)
+        yield table(segments())
+
+    def table(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names).astype({"end": "Int64"})
 
     names = [key, "start", "end", *[f"{c}_{e}" for c in state for e in ("from", "to")]]
     schema = ", ".join([f"{key} {dict(updates.dtypes)[key]}", "start long", "end long", *[f"{n} double" for n in names[3:]]])
-    return updates.select(key, at, *state, ramp).groupBy(key).applyInPandas(solve, schema)
+    u = updates.select(key, at, *state, ramp).dropna()
+    return u.repartition(key).sortWithinPartitions(key, at, ramp, *state).mapInPandas(solve, schema)
 
 
 def follow(samples: DataFrame, key: str, index: str, x: str, alpha: float, chunk: int = 4096) -> DataFrame:
