@@ -126,7 +126,8 @@ def adm_times(spark, sf_dir):
     part = [F.floor(ms / 3600000), F.pmod(F.floor(ms / 60000), F.lit(60)), F.pmod(F.floor(ms / 1000), F.lit(60)), F.pmod(ms, F.lit(1000))]
     decimal = F.format_string("%02d:%02d:%02d.%03d", *part)
     fraction = F.format_string("00:00:%02d.%dS44100", F.pmod("event_id", F.lit(60)), F.pmod("event_id", F.lit(44100)))
-    return e.select("event_id", C.time_to_samples(decimal, 48000).alias("at_decimal"), C.time_to_samples(fraction, 48000).alias("at_fraction"))
+    texts = e.select("event_id", decimal.alias("a"), fraction.alias("b"))
+    return texts.select("event_id", C.time_to_samples(F.col("a"), 48000).alias("at_decimal"), C.time_to_samples(F.col("b"), 48000).alias("at_fraction"))
 
 
 @query(f"""WITH f AS (SELECT *, coalesce(last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w, 1) AS said, coalesce(last_value(CASE WHEN event_type = 'error' THEN false WHEN event_type = 'click' THEN true END IGNORE NULLS) OVER w, true) AS on_,
