@@ -185,10 +185,10 @@ def noise_floor(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_suppkey, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END) AS share, max(l_quantity) AS run FROM lineitem GROUP BY 1)
-    SELECT l_suppkey, round(share, 6) AS share, CASE WHEN share > 0.5 OR run > 60 THEN 'refuse' WHEN share > 0.25 OR run > 30 THEN 'remark' ELSE 'pass' END AS verdict FROM s""")
+    SELECT l_suppkey, share, CASE WHEN share > 0.5 OR run > 60 THEN 'refuse' WHEN share > 0.25 OR run > 30 THEN 'remark' ELSE 'pass' END AS verdict FROM s""")
 def guard_verdicts(spark, sf_dir):
     s = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg((F.col("l_discount") > 0.05).cast("double")).alias("share"), F.max("l_quantity").alias("run"))
-    return s.select("l_suppkey", _r(F.col("share"), 6).alias("share"), S.verdict(F.col("share"), F.col("run"), 0.5, 60).alias("verdict"))
+    return s.select("l_suppkey", "share", S.verdict(F.col("share"), F.col("run"), 0.5, 60).alias("verdict"))
 
 
 @query(f"""WITH d AS (SELECT vec_id, label, x / n AS x, y / n AS y, z / n AS z FROM {_U}), c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 4)
