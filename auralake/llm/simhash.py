@@ -300,7 +300,7 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
     """doc_id, component_id: classes of documents whose sets of `words`-word shingles have a Jaccard similarity of 0.8
     or more, directly or over others; one row for each row of docs with a doc_id.
 
-    Documents with equal sets are one node. Fingerprints meet in shards of sampled bits; a shard's BK-tree proposes
+    Documents with equal sets are one node. Fingerprints of the sets meet in shards of sampled bits; a shard's BK-tree proposes
     clusters within `radius` bits, and each proposed cluster is verified exactly on the documents' sets.
     """
     spark = docs.sparkSession
@@ -308,9 +308,9 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [hash_shingles(t, words) for t in texts(b)]
+            h = [shingle_set(t, words) for t in texts(b)]
             fp = np.array([fingerprint(x) for x in h], np.uint64).view(np.int64)
-            sig = np.array([xxhash.xxh64_intdigest(np.unique(x).tobytes()) for x in h], np.uint64).view(np.int64)
+            sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(fp), "sig": pa.array(sig)})
 
     own = docs.select("doc_id", "text").where("doc_id is not null")

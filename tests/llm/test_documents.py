@@ -177,6 +177,16 @@ def test_drop_duplicates(docs):
     assert sorted(ids) == sorted(set(ids)) and set(ids) == stay
 
 
+def linked(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+
+
+def test_similar_documents_ignore_repeats(spark):
+    base = " ".join(f"word{i}" for i in range(104))
+    assert linked(spark, [base, base + " x" * 60]) == {0: 0, 1: 0}  # 100 of 105 shingles are shared
+
+
 def test_similar_links_matches_sets():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
