@@ -182,6 +182,8 @@ STAGE_WORDS, SIMILAR = 5, 0.8
 WITHIN, TYPICAL, MISSED = 14, 10, 0.03
 #: Documents that are verified together; more are verified in pairs of blocks.
 BLOCK = 2_000
+#: Buckets of shingles, as a power of two, and documents whose shingles are counted for the order of prefixes, about.
+RARITY_BITS, RARITY_SAMPLE = 18, 20_000
 
 
 def tables(n: int) -> list[int]:
@@ -237,20 +239,41 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> Iterator[tu
         yield int(label[i]), i
 
 
+class Proposals:
+    """Groups of documents to be verified, each but once in a task; large ones as pairs of blocks."""
+
+    def __init__(self) -> None:
+        self.grp: list[np.ndarray] = []
+        self.nodes: list[np.ndarray] = []
+        self.met: set[int] = set()
+
+    def add(self, uf: UnionFind) -> None:
+        members: dict[int, list[int]] = {}
+        for n in uf.up:
+            members.setdefault(uf.find(n), []).append(n)
+        for m in members.values():
+            m = np.array(sorted(m), np.int64)
+            blocks = [m] if len(m) <= BLOCK else [m[a : a + BLOCK // 2] for a in range(0, len(m), BLOCK // 2)]
+            for i, x in enumerate(blocks):
+                for y in blocks[i + (len(blocks) > 1) :] if len(blocks) > 1 else [x]:
+                    s = np.union1d(x, y)
+                    g = xxhash.xxh64_intdigest(s.tobytes())
+                    if g not in self.met:
+                        self.met.add(g)
+                        self.grp.append(np.full(len(s), np.array([g], np.uint64).view(np.int64)[0]))
+                        self.nodes.append(s)
+
+    def flush(self) -> pa.RecordBatch:
+        grp, nodes = (np.concatenate(x) if x else [] for x in (self.grp, self.nodes))
+        self.grp, self.nodes = [], []
+        return pa.RecordBatch.from_pydict({"grp": pa.array(grp, pa.int64()), "node": pa.array(nodes, pa.int64())})
+
+
 def _clusters(radius: int):
     """Members of each shard that are linked in its BK-tree, as groups to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-        met: set[int] = set()
-
-        def flush() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_pydict({"grp": pa.array(np.concatenate(grp) if grp else [], pa.int64()), "node": pa.array(np.concatenate(nodes) if nodes else [], pa.int64())})
-            grp.clear()
-            nodes.clear()
-            return b
-
+        out = Proposals()
         for _, t in groups(batches, "shard"):
             if t.num_rows < 2:
                 continue
@@ -264,27 +287,61 @@ def _clusters(radius: int):
                 at[f] = n
                 for g in tree.add_and_find(f, radius):
                     uf.union(n, at[g])
-            members: dict[int, list[int]] = {}
-            for n in uf.up:
-                members.setdefault(uf.find(n), []).append(n)
-            for m in members.values():
-                m = np.array(sorted(m), np.int64)
-                blocks = [m] if len(m) <= BLOCK else [m[a : a + BLOCK // 2] for a in range(0, len(m), BLOCK // 2)]
-                for i, x in enumerate(blocks):
-                    for y in blocks[i + (len(blocks) > 1) :] if len(blocks) > 1 else [x]:
-                        s = np.union1d(x, y)
-                        g = xxhash.xxh64_intdigest(s.tobytes())
-                        if g not in met:
-                            met.add(g)
-                            grp.append(np.full(len(s), np.array([g], np.uint64).view(np.int64)[0]))
-                            nodes.append(s)
-            if len(grp) >= 5000:
-                yield flush()
-        yield flush()
+            out.add(uf)
+            if len(out.grp) >= 5000:
+                yield out.flush()
+        yield out.flush()
 
     return run
 
 
+def rarity(docs: DataFrame, words: int = STAGE_WORDS) -> np.ndarray:
+    """Levels of the buckets of shingles, by how many of about RARITY_SAMPLE documents hold one of a bucket's."""
+    share = min(1.0, RARITY_SAMPLE / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("rarity")), F.lit(1_000_000)) < int(share * 1_000_000))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << RARITY_BITS, np.int64)
+        for b in batches:
+            for t in texts(b):
+                n += np.bincount((shingle_set(t, words) & np.uint64((1 << RARITY_BITS) - 1)).astype(np.int64), minlength=1 << RARITY_BITS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "n": pa.array(n[at])})
+
+    got = some.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(1 << RARITY_BITS, np.uint8)
+    level[got["bucket"].to_numpy()] = np.ceil(np.log2(got["n"].to_numpy() + 1.0))
+    return level
+
+
+def prefix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set h by level, then hash: sets with a similarity of 0.8 or more share one of
+    them at least, whatever the levels are, as they share 4/5 of either set."""
+    n = len(h)
+    first = np.argsort(level[(h & np.uint64(len(level) - 1)).astype(np.int64)], kind="stable")
+    return h[first[: n - (4 * n + 4) // 5 + 1]] if n else h
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that share a shingle of their prefixes and may be similar by size and by place of the first such shingle,
+    as groups to be verified; nodes of one component needn't be."""
+    out = Proposals()
+    for _, t in groups(batches, "key"):
+        node, comp, size, pos = (t[c].to_numpy() for c in ("node", "comp", "size", "pos"))
+        uf = UnionFind()
+        ends = np.searchsorted(4 * size, 5 * size, "right")
+        rest = size - pos  # what can be shared from this shingle on
+        for i, end in enumerate(ends.tolist()):
+            j = slice(i + 1, end)
+            ok = (comp[j] != comp[i]) & (9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j]))
+            for k in np.flatnonzero(ok).tolist():
+                uf.union(int(node[i]), int(node[i + 1 + k]))
+        out.add(uf)
+        if len(out.grp) >= 5000:
+            yield out.flush()
+    yield out.flush()
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, t in groups(batches, "grp"):
         node = t["node"].to_pylist()
@@ -300,35 +357,55 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
     """doc_id, component_id: classes of documents whose sets of `words`-word shingles have a Jaccard similarity of 0.8
     or more, directly or over others; one row for each row of docs with a doc_id.
 
-    Documents with equal sets are one node. Fingerprints of the sets meet in shards of sampled bits; a shard's BK-tree proposes
-    clusters within `radius` bits, and each proposed cluster is verified exactly on the documents' sets.
+    Documents with equal sets are one node. Fingerprints of the sets meet in shards of sampled bits; a shard's BK-tree
+    proposes clusters within `radius` bits, and each proposed cluster is verified exactly on the documents' sets. That
+    finds most pairs. Pairs of different components that share a shingle of their prefixes, which all similar pairs
+    do, are verified after that, so none is missed.
     """
     spark = docs.sparkSession
     tune(spark)
+    own = docs.select("doc_id", "text").where("doc_id is not null")
+    shared = spark.sparkContext.broadcast(rarity(own, words))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
         for b in batches:
             h = [shingle_set(t, words) for t in texts(b)]
             fp = np.array([fingerprint(x) for x in h], np.uint64).view(np.int64)
             sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(fp), "sig": pa.array(sig)})
+            keys = [prefix(x, level).view(np.int64) for x in h]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column("doc_id"), "fp": pa.array(fp), "sig": pa.array(sig),
+                "size": pa.array(list(map(len, h)), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
+            })
 
-    own = docs.select("doc_id", "text").where("doc_id is not null")
-    marked = stage(own.mapInArrow(mark, "doc_id long, fp long, sig long"), "marked")
+    marked = stage(own.mapInArrow(mark, "doc_id long, fp long, sig long, size long, keys array<long>"), "marked")
     nodes = stage(marked.groupBy("sig").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("sig", F.col("m.doc_id").alias("node"), F.col("m.fp").alias("fp")), "nodes")
     n = wide(docs)
-    dealt = _shards(tables(nodes.count()), nodes).select(F.xxhash64("block", "bits").alias("shard"), "fp", "node").repartition(n, "shard").sortWithinPartitions("shard", "fp", "node")
-    met = stage(dealt.mapInArrow(_clusters(radius), "grp long, node long").distinct(), "clusters")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"node": b.column("node"), "data": pa.array([shingle_set(t, words).tobytes() for t in texts(b)], pa.binary())})
 
-    # The texts stay where they are: a bit table of fixed size picks those that are needed, and the join is exact.
-    wanted = maybe_in(own, "doc_id", membership(met, "node"))
-    data = wanted.select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, data binary")
-    edges = met.join(data, "node").select("grp", "node", "data").repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified, "u long, v long")
-    comp = components(edges)
+    def verified(met: DataFrame) -> DataFrame:
+        # The texts stay where they are: a bit table of fixed size picks those that are needed, and the join is exact.
+        wanted = maybe_in(own, "doc_id", membership(met, "node"))
+        data = wanted.select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, data binary")
+        return met.join(data, "node").select("grp", "node", "data").repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified, "u long, v long")
+
+    dealt = _shards(tables(nodes.count()), nodes).select(F.xxhash64("block", "bits").alias("shard"), "fp", "node").repartition(n, "shard").sortWithinPartitions("shard", "fp", "node")
+    met = stage(dealt.mapInArrow(_clusters(radius), "grp long, node long").distinct(), "clusters")
+    comp = components(verified(met))
+
+    known = nodes.join(comp, "node", "left").select("sig", F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("comp"))
+    lists = stage(marked.select("doc_id", "sig", "size", "keys").join(known, ["sig", "doc_id"]).select(F.col("doc_id").alias("node"), "comp", "size", "keys").where("size > 0"), "prefixes")
+    held = lists.select("node", "comp", "size", F.posexplode("keys").alias("pos", "key"))
+    several = stage(held.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"), "keys")
+    open_ = maybe_in(held, "key", membership(several, "key")).join(several, "key", "left_semi").select("key", "node", "comp", "size", F.col("pos").cast("long").alias("pos"))
+    met = stage(open_.repartition(n, "key").sortWithinPartitions("key", "size", "node").mapInArrow(_meetings, "grp long, node long").distinct(), "meetings")
+    if not met.isEmpty():
+        more = verified(met)
+        comp = components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     roots = nodes.join(comp, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
     return marked.join(roots, "sig").select("doc_id", "component_id")
 

@@ -187,6 +187,27 @@ def test_similar_documents_ignore_repeats(spark):
     assert linked(spark, [base, base + " x" * 60]) == {0: 0, 1: 0}  # 100 of 105 shingles are shared
 
 
+def test_similar_documents_beyond_the_radius(spark):
+    import random
+
+    r = random.Random(17)
+    w = [f"w{r.randrange(10**6)}" for _ in range(44)]
+    pair = [" ".join(w), " ".join(["other17", "second", *w[2:-2], "more", "end"])]
+    a, b = map(simhash.shingle_set, pair)
+    assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    assert (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > simhash.WITHIN
+    assert linked(spark, pair) == {0: 0, 1: 0}
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    level = rng.integers(0, 9, 1 << 8).astype(np.uint8)
+    for n in range(1, 200):
+        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        b = rng.permutation(a)[: -(-4 * len(a) // 5)]  # at 0.8, or just above
+        assert np.intersect1d(simhash.prefix(a, level), simhash.prefix(np.sort(b), level)).size
+
+
 def test_similar_links_matches_sets():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
