@@ -18,7 +18,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 #: Runs that may be an encoded secret: long enough for the tests to have power.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+#: Parts of a candidate that no alphabet holds: runs of base64url, of base64, and of neither's signs.
+PARTS = tuple(re.compile(f"[A-Za-z0-9{signs}]{{24,}}=*") for signs in ("_-", "+/", ""))
 SHORTEST = 24
 
 HEX_DIGITS = "0123456789abcdef"
@@ -130,6 +132,13 @@ def discoveries(tokens: list[str]) -> list[bool]:
     return out
 
 
+def parts(start: int, token: str) -> list[tuple[int, str]]:
+    """A candidate as (start, token), or its parts where no alphabet holds all of it; parts may overlap."""
+    if infer(token.rstrip("=")) is not None:
+        return [(start, token)]
+    return sorted({(start + m.start(), m[0]) for p in PARTS for m in p.finditer(token)})
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, sorted by start, then kind as in KINDS. Base kinds are always kept; added
     ones don't overlap them."""
@@ -140,12 +149,13 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     base = sorted(found)
     maybe = []
     for m in CANDIDATE.finditer(text):
-        t = m[0]
-        if t.isalpha() and (t.islower() or t[1:].islower()):
-            continue  # a long word: one class of characters
-        if not any(s < m.end() and m.start() < e for s, e, _ in base):
-            maybe.append(m)
-    found += [(m.start(), m.end(), "random") for m, yes in zip(maybe, discoveries([m[0] for m in maybe])) if yes]
+        if any(s < m.end() and m.start() < e for s, e, _ in base):
+            continue
+        for at, t in parts(m.start(), m[0]):
+            if not (t.isalpha() and (t.islower() or t[1:].islower())):  # a long word: one class of characters
+                maybe.append((at, t))
+    spans = {(at, at + len(t)) for (at, t), yes in zip(maybe, discoveries([t for _, t in maybe])) if yes}
+    found += [(s, e, "random") for s, e in spans if not any(x <= s and e <= y and (x, y) != (s, e) for x, y in spans)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

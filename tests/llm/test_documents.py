@@ -366,6 +366,13 @@ def test_battery_controls_discoveries():
     assert not any(secrets.discoveries(plain))
 
 
+def test_secrets_beside_separators():
+    key = "q7Rz9LmK2xVb8NwT4sYc1HdJ6fGp3QaE"
+    for text in (f"auth={key}", f"https://a.b/c?sig={key}==", f"x/user-data/{key}", f"some-name+{key}/x_y"):
+        (s, e, kind), = secrets.scan(text)
+        assert kind == "random" and key in text[s:e]
+
+
 def test_bpe(docs):
     tok = Tokenizer.from_file(WORD_BPE)
     want = Counter()
