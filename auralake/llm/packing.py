@@ -148,7 +148,7 @@ class Plan:
                 if full:
                     self.put(size, full * each, first, each, self.capacity - room)
                     items -= full * each
-                    keep(room - full and room - each * size, first, full)
+                    keep(room - each * size, first, full)
                 if full < n and items:
                     self.put(size, items, first + full, items, self.capacity - room)
                     keep(room - items * size, first + full, 1)
