@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import texts, tune
 
@@ -36,32 +40,30 @@ ALPHABETS = (
     ("base64", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", UPPER + LOWER + DIGITS + "-_"),
 )
-#: Chance that a character of a word or an identifier is of another class than the one before.
-CLASS_CHANGE = 0.15
-#: False discovery rate among a text's candidates; level of the tests at SHORTEST characters.
+#: False discovery rate among a text's candidates; level, at SHORTEST characters, at which a token is found unlike random.
 RATE, LEVEL = 0.001, 0.01
+#: Tokens that are simulated for an alphabet and a length, and the length beyond which only the deviations shrink.
+SIMULATED, LONGEST = 1_500, 256
+#: Common words, of which the null model makes identifiers, paths and sentences without spaces.
+WORDS = """
+the and for you not with this that have from are was all can her one out day get has him his how man new now old see two way who
+account action address after again allow amount answer append array assert async author backup balance before begin below between
+block board border branch bridge buffer build button bytes cache call cancel capture center change channel check child class clear
+client close cluster code collect color column command common compare complete config connect content context control convert copy
+count country create current custom daily data database date decode default delete delivery design detail device dialog different
+display document domain download driver during dynamic edit element email enable encode engine entry error event every example
+execute export extra factor failure feature field file filter final first folder format forward frame function general global
+""".split()
 
 
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def chi2_tail(x: float, df: int) -> float:
-    """Upper tail by Wilson and Hilferty's cube root."""
-    if x <= 0:
-        return 1.0
-    v = 2 / (9 * df)
-    return normal_tail(((x / df) ** (1 / 3) - (1 - v)) / math.sqrt(v))
-
-
-def fisher(ps: list[float]) -> float:
-    """Combined p of independent tests; the closed form for an even number of degrees of freedom."""
-    half = -sum(math.log(max(p, 1e-300)) for p in ps)
-    term = total = 1.0
-    for k in range(1, len(ps)):
-        term *= half / k
-        total += term
-    return min(1.0, math.exp(-half) * total)
+def t_tail(z: float, df: int = 30) -> float:
+    """Upper tail of a t distribution, by a normal approximation."""
+    w = math.sqrt(df * math.log1p(z * z / df)) * (1 - 3 / (4 * df))
+    return normal_tail(math.copysign(w, z))
 
 
 def infer(token: str) -> str | None:
@@ -70,65 +72,116 @@ def infer(token: str) -> str | None:
     return next((a for _, a in ALPHABETS if seen <= set(a)), None)
 
 
-def randomness(token: str, alphabet: str) -> float:
-    """Combined p of uniformity, runs and serial correlation, if the token were random in its alphabet."""
-    n, k = len(token), len(alphabet)
-    x = [alphabet.index(c) for c in token]
-    counts: dict[int, int] = {}
-    for v in x:
-        counts[v] = counts.get(v, 0) + 1
-    uniform = chi2_tail(sum(c * c for c in counts.values()) * k / n - n, k - 1)
-    high = [v >= k // 2 for v in x]
-    a = sum(high)
-    b = n - a
-    if a and b:
-        runs = 1 + sum(p != q for p, q in zip(high, high[1:]))
-        mean = 1 + 2 * a * b / n
-        var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-        p_runs = 2 * normal_tail(abs(runs - mean) / math.sqrt(var))
-    else:
-        p_runs = 2.0 ** (1 - n)
-    m = sum(x) / n
-    var = sum((v - m) ** 2 for v in x)
-    if var:
-        r = sum((p - m) * (q - m) for p, q in zip(x, x[1:])) / var
-        p_serial = 2 * normal_tail(abs(r) * math.sqrt(n))
-    else:
-        p_serial = 0.0
-    return fisher([uniform, min(1.0, p_runs), min(1.0, p_serial)])
-
-
-def _kind(c: str) -> int:
-    return 0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3
-
-
-def structured(token: str) -> float:
-    """p of as many changes of character class, if the token were a word or an identifier."""
-    kinds = [_kind(c) for c in token]
-    n, t = len(kinds) - 1, sum(p != q for p, q in zip(kinds, kinds[1:]))
-    term, tail = 1.0, 0.0
-    for i in range(n + 1):
-        term = math.comb(n, i) * CLASS_CHANGE**i * (1 - CLASS_CHANGE) ** (n - i) if n < 200 else 0.0
-        tail += term if i >= t else 0.0
-    if n >= 200:
-        tail = normal_tail((t - 0.5 - n * CLASS_CHANGE) / math.sqrt(n * CLASS_CHANGE * (1 - CLASS_CHANGE)))
-    return min(1.0, tail)
+def _classes(alphabet: str) -> np.ndarray:
+    return np.array([0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3 for c in alphabet])
+
+
+def _vowels(alphabet: str) -> np.ndarray:
+    """1 for vowels, -1 for consonants, 0 for what is no letter."""
+    return np.array([0.0 if not c.isalpha() else 1.0 if c.lower() in "aeiouy" else -1.0 for c in alphabet])
+
+
+def _correlation(x: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Serial correlation of the rows of x over the neighbours that both are in use."""
+    n = np.maximum(use.sum(1, keepdims=True), 1)
+    d = np.where(use, x - np.where(use, x, 0).sum(1, keepdims=True) / n, 0.0)
+    pairs = (use[:, 1:] & use[:, :-1]).sum(1)
+    var = (d**2).sum(1) / n[:, 0]
+    return np.where((pairs > 0) & (var > 0), (d[:, 1:] * d[:, :-1]).sum(1) / np.maximum(pairs, 1) / np.maximum(var, 1e-12), 0.0)
+
+
+def statistics(codes: np.ndarray, alphabet: str) -> np.ndarray:
+    """The battery on tokens of one length (a row of symbol numbers each): chi-squared of the symbols against uniform
+    ones, per character and without its mean; changes of character class per character, i.e. runs; serial correlation
+    of the symbols' order; serial correlation of vowels and consonants."""
+    rows, n = codes.shape
+    k = len(alphabet)
+    counts = np.bincount((codes + np.arange(rows)[:, None] * k).ravel(), minlength=rows * k).reshape(rows, k).astype(float)
+    chi2 = (counts**2).sum(1) * k / n - n
+    classes, vowels = _classes(alphabet)[codes], _vowels(alphabet)[codes]
+    runs = (classes[:, 1:] != classes[:, :-1]).sum(1)
+    every = np.ones(codes.shape, bool)
+    return np.stack([(chi2 - (k - 1)) / n, runs / max(1, n - 1), _correlation(codes.astype(float), every), _correlation(vowels, vowels != 0)], 1)
+
+
+def plain_token(r: random.Random, alphabet: str, n: int) -> str:
+    """A token of the null model: words, years and counters, written as identifiers in the alphabet are."""
+    if len(alphabet) == 16:
+        out = ""
+        while len(out) < n:
+            date = f"20{r.randrange(100):02d}{r.randrange(1, 13):02d}{r.randrange(1, 29):02d}"
+            word = r.choice(("abc", "add", "bad", "cafe", "dead", "beef", "face", "fade", "feed"))
+            out += r.choice([date, f"{r.randrange(10**6):06d}", str(r.randrange(10**9)), str(r.randrange(10)) * r.randrange(2, 9), f"{r.randrange(100):08d}", word])
+        return (out if "a" in alphabet else out.upper())[:n]
+    signs = [c for c in alphabet if not c.isalnum()]
+    both = UPPER[0] in alphabet and LOWER[0] in alphabet
+    sign = r.choice(signs) if signs else ""
+    style = r.choice((str.lower, str.upper, str.title) if signs else (str.title,)) if both else str.upper if UPPER[0] in alphabet else str.lower
+    numbers = r.choice((0.0, 0.1, 0.3) if both else (0.1, 0.3))
+    digits = [c for c in DIGITS if c in alphabet]
+    out: list[str] = []
+    size = 0
+    while size <= n:
+        out.append("".join(r.choices(digits, k=r.choice((1, 2, 4, 4)))) if r.random() < numbers else style(r.choice(WORDS)))
+        size += len(out[-1]) + len(sign)
+    return sign.join(out)[:n]
+
+
+@lru_cache(4096)
+def _models(alphabet: str, n: int) -> tuple[np.ndarray, ...]:
+    """For tokens of n characters: means and covariance of the battery over the null model's tokens, the weights that
+    tell them best from random ones (a linear discriminant), means and deviations over random ones, and the sorted
+    sums of squares of these, all by simulation from fixed seeds."""
+    at = {c: i for i, c in enumerate(alphabet)}
+    r = random.Random(f"{alphabet}:{n}")
+    plain = statistics(np.array([[at[c] for c in plain_token(r, alphabet, n)] for _ in range(SIMULATED)]), alphabet)
+    chance = statistics(np.random.default_rng([len(alphabet), n]).integers(0, len(alphabet), (SIMULATED, n)), alphabet)
+    cov = np.cov(plain.T) + np.diag([1e-6] * 4)
+    weights = np.linalg.solve(cov + np.cov(chance.T), chance.mean(0) - plain.mean(0))
+    mean, sd = chance.mean(0), chance.std(0) + 1e-9
+    return plain.mean(0), cov, weights, mean, sd, np.sort(_unlike((chance - mean) / sd))
+
+
+def _unlike(z: np.ndarray) -> np.ndarray:
+    """Sum of squares; too few repeats of symbols and too many runs are no sign of order."""
+    return np.maximum(z[..., 0], 0) ** 2 + np.maximum(-z[..., 1], 0) ** 2 + (z[..., 2:] ** 2).sum(-1)
+
+
+def battery(token: str, alphabet: str) -> tuple[float, float]:
+    """p of the token's battery if it were of the null model's words and counters, and if it were random.
+
+    The first is one-sided towards random: the weighted sum of the statistics is about normal under the null model;
+    a t distribution's heavier tail is used. The second is the share of simulated random tokens that are as unlike
+    the mean; as dependence of the tests is in both simulations, no independence is assumed.
+    """
+    n = len(token)
+    mean, cov, weights, centre, sd, sums = _models(alphabet, n if n <= 64 else min(LONGEST, n // 16 * 16))
+    at = {c: i for i, c in enumerate(alphabet)}
+    x = statistics(np.array([[at[c] for c in token]]), alphabet)[0]
+    shrink = math.sqrt(max(1.0, n / LONGEST))
+    z = float(weights @ (x - mean)) / math.sqrt(float(weights @ cov @ weights)) * shrink
+    like = 1 - np.searchsorted(sums, _unlike((x - centre) / sd * shrink)) / len(sums)
+    return t_tail(z), float(like)
 
 
 def discoveries(tokens: list[str]) -> list[bool]:
-    """Which tokens are secrets: not structured by a Benjamini-Hochberg procedure in which a token's weight is its
-    length, and not found unlike random by the battery, at a level that shrinks with length, as power grows."""
+    """Which tokens are secrets: the battery tells them from words and counters by a Benjamini-Hochberg procedure at
+    RATE over the tokens of a text, in which a token's weight is its length, and does not find them unlike random
+    at a level that shrinks with length, as power grows."""
     if not tokens:
         return []
     mean = sum(map(len, tokens)) / len(tokens)
-    ps = [structured(t) * mean / len(t) for t in tokens]
-    order = sorted(range(len(ps)), key=ps.__getitem__)
-    last = max((k for k, i in enumerate(order, 1) if ps[i] <= RATE * k / len(ps)), default=0)
+    ps: list[tuple[float, float]] = []
+    for t in tokens:
+        core = t.rstrip("=")
+        alphabet = infer(core)
+        ps.append((1.0, 0.0) if alphabet is None or len(core) < SHORTEST else battery(core, alphabet))
+    weighted = [p * mean / len(t) for (p, _), t in zip(ps, tokens)]
+    order = sorted(range(len(ps)), key=weighted.__getitem__)
+    last = max((k for k, i in enumerate(order, 1) if weighted[i] <= RATE * k / len(ps)), default=0)
     out = [False] * len(tokens)
     for i in order[:last]:
-        core = tokens[i].rstrip("=")
-        alphabet = infer(core)
-        out[i] = alphabet is not None and len(core) >= SHORTEST and randomness(core, alphabet) >= LEVEL * SHORTEST / len(core)
+        out[i] = ps[i][1] >= LEVEL * SHORTEST / len(tokens[i].rstrip("="))
     return out
 
 
@@ -199,13 +252,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with the secrets in text replaced by marks such as [hex]; null texts stay null; all columns are kept."""
+    """docs with the secrets in text replaced by marks such as [hex]; null texts stay null; all columns are kept,
+    whatever their names and types."""
     tune(docs.sparkSession)
-    cols = docs.columns
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [None if t is None else redact(t, s) if (s := scan(t)) else t for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({c: pa.array(new, pa.string()) if c == "text" else b.column(c) for c in cols})
+            new = [None if t is None else redact(t, s) if (s := scan(t)) else t for t in b.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"_row": b.column("_row"), "_text": pa.array(new, pa.string())})
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
