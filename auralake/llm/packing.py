@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import Memo, byte_chars, latin_pieces
 from .common import stage, texts, tune
@@ -77,30 +78,33 @@ class Plan:
         again = True
         while again and self.left:
             again = False
-            for n in sorted(self.left, reverse=True):
-                if n in self.left and (found := self.dominating(n)):
-                    lengths, times = found
-                    self.fix(lengths, times)
+            ascending = sorted(self.left)
+            for n in reversed(ascending):
+                if n in self.left and not self.four(n, ascending) and (found := self.dominating(n)):
+                    # A set that dominates does so again while it is there, as the alternatives only get fewer.
+                    self.fix(found, min(self.left[x] // found.count(x) for x in found))
                     again = True
+                    ascending = sorted(self.left)
+
+    def four(self, n: int, ascending: list[int]) -> bool:
+        """Whether three more fit beside n, the smallest there are."""
+        took, room = 0, self.capacity - n
+        for s in ascending:
+            many = min(3 - took, self.left[s] - (s == n))
+            took, room = took + many, room - many * s
+            if took == 3 or room < 0:
+                break
+        return took == 3 and room >= 0
 
-    def dominating(self, n: int) -> tuple[tuple[int, ...], int] | None:
-        """A set with n that dominates all others with n, and how often it can be fixed at least; or None."""
+    def dominating(self, n: int) -> tuple[int, ...] | None:
+        """A set with n that dominates all others with n, at most two of which fit beside it; or None."""
         room, have = self.capacity - n, dict(self.left)
         have[n] -= 1
         sizes = sorted(s for s, c in have.items() if c > 0)
-        small: list[int] = []
-        for s in sizes:
-            small += [s] * min(have[s], 3 - len(small))
-            if len(small) == 3:
-                break
-        if not small or small[0] > room:
-            return (n,), self.left[n] if not small or small[0] != n else 1
+        if not sizes or sizes[0] > room:
+            return (n,)
         top = sizes[bisect.bisect_right(sizes, room) - 1]  # the largest that fits beside n
-        if len(small) < 2 or small[0] + small[1] > room:  # only one more fits
-            return (n, top), 1 if top == n else min(self.left[n], self.left[top])
-        if len(small) == 3 and sum(small) <= room:
-            return None
-        # At most two more fit. The best pair by sum, and the largest smaller member of any pair:
+        # The best pair by sum, and the largest smaller member of any pair:
         best, second, lo, hi = 0, 0, 0, len(sizes) - 1
         while lo <= hi:
             a, b = sizes[lo], sizes[hi]
@@ -110,11 +114,11 @@ class Plan:
                 best, second = max(best, a + b), max(second, a)
                 lo += 1
         if top >= best:
-            return (n, top), 1 if top == n else 1 + (min(self.left[n], self.left[top]) - 1 if best else 0) // 2
+            return (n, top)
         have[top] -= 1
         rest = [s for s in sizes if have[s] > 0 and s <= room - top]
         if rest and rest[-1] >= second:  # it is at least as large as any pair, member by member
-            return (n, top, rest[-1]), 1
+            return (n, top, rest[-1])
         return None
 
     def best_fit(self) -> None:
@@ -260,8 +264,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, rank_group: int = RANK_GR
             out["offset"] = pa.array(s[:, 4] + nth % s[:, 3] * n)
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, `offset` long")
+    return ranked.mapInArrow(run, T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
