@@ -10,14 +10,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import Memo
-from .common import texts, tune
+from .common import stage, texts, tune
 
 #: Hashed terms, terms that the model keeps, and its factors.
 BITS, KEPT, FACTORS = 18, 4096, 8
 #: About how many labelled rows the model is fitted on at most; which ones follows from a hash of doc_id.
 SAMPLE = 20_000
+#: Log-odds of every text where the labels are of one kind, or there are none.
+NOTHING = -40.0
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 
@@ -102,20 +105,61 @@ def held_out_column():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Frequent terms of which pairs are tried, telling terms they are tried with, and the gain a pair must bring.
+PAIRED, WITH, PAIR_GAIN = 1024, 256, 40.0
+
+
+def association(both: np.ndarray, one: np.ndarray, clean: float, toxic: float) -> np.ndarray:
+    """Likelihood ratio (G) between the label and having a term: `both` toxic rows and `one` clean rows have it."""
+    n, p = toxic + clean, toxic / (toxic + clean)
+    gain = np.zeros(np.shape(both))
+    for got, want in ((both, (both + one) * p), (one, (both + one) * (1 - p)), (toxic - both, (n - both - one) * p), (clean - one, (n - both - one) * (1 - p))):
+        gain += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(want, 1e-9))
+    return gain
+
+
+def pair_gains(rows: list[list[int]], y: np.ndarray, width: int, own: np.ndarray) -> np.ndarray:
+    """For each term the most that having it together with another one tells beyond what the two tell alone (own).
+
+    rows hold terms below `width`. The counts of all pairs are products of 0/1 matrices, a block of rows at a time.
+    """
+    seen = np.zeros((2, width, width), np.float32)
+    for k in (0, 1):
+        some = [r for r, v in zip(rows, y) if v == k]
+        for a in range(0, len(some), 2048):
+            x = np.zeros((min(2048, len(some) - a), width), np.float32)
+            for i, r in enumerate(some[a : a + 2048]):
+                x[i, r] = 1
+            seen[k] += x.T @ x
+    best = np.zeros(width)
+    clean, toxic = float((y == 0).sum()), float((y == 1).sum())
+    for i in range(width):  # by rows: few temporaries
+        g = association(seen[1, i].astype(float), seen[0, i].astype(float), clean, toxic) - own - own[i]
+        g[i] = 0
+        best[i] = g.max(initial=0)
+    return best
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on the labelled rows of docs that aren't held out, or on about `sample` of them where there are more.
 
-    labels: doc_id, toxic; a document with several labels counts as toxic if one says so; null labels don't count.
-    Only terms' counts (at most 2 ** BITS rows, added up in the cluster), the KEPT most telling terms and the sample's
-    rows of kept terms come to the driver. Without labels of both kinds every score is the share of toxic rows.
+    labels: doc_id, toxic; a document with several labels counts as toxic if one says so; labels other than 0 and 1,
+    null among them, don't count; of rows with one doc_id the smallest text counts. Without labels of both kinds there
+    is nothing to learn: no text is toxic then.
+
+    The sample's texts are staged once. Only terms' counts (at most 2 ** BITS rows, added up in the cluster) and the
+    sample's rows of some terms come to the driver. Kept are up to KEPT terms: those that tell the label alone, and of
+    the PAIRED most frequent others those that tell it in company of another, which is what the pairs are for.
     """
     spark = docs.sparkSession
     tune(spark)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out_column())
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out_column())
     total = known.count()
-    share = min(1.0, sample / max(1, total))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    if total > sample:  # in 2 ** 62 steps, so that no table is too large for its share
+        known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 2) < int(sample / total * (1 << 62)))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = stage(rows.select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, n = Terms(), np.zeros((2, 1 << BITS), np.int64)
@@ -131,19 +175,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
     counts = counts.where("term = -1 or clean + toxic >= 4").toPandas()
     all_ = counts[counts.term == -1]
     clean, toxic = (int(all_[c].sum()) for c in ("clean", "toxic"))
-    w0 = float(np.log((toxic + 0.5) / (clean + 0.5)))
     if not clean or not toxic:
-        return FactorizationMachine([], w0)
+        return FactorizationMachine([], NOTHING)
     c = counts[counts.term >= 0].sort_values("term")
-    a, b = c.toxic.to_numpy(float), c.clean.to_numpy(float)
-    n, p = toxic + clean, toxic / (toxic + clean)
-    gain = np.zeros(len(a))  # of a likelihood ratio test between the term and the label
-    for got, want in ((a, (a + b) * p), (b, (a + b) * (1 - p)), (toxic - a, (n - a - b) * p), (clean - b, (n - a - b) * (1 - p))):
-        gain += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(want, 1e-9))
+    terms, a, b = c.term.to_numpy(), c.toxic.to_numpy(float), c.clean.to_numpy(float)
+    gain = association(a, b, clean, toxic)
     best = np.argsort(-gain, kind="stable")[:KEPT]
     best = best[gain[best] > 15]
-    fm = FactorizationMachine(c.term.to_numpy()[best].tolist(), w0)
-    shared = spark.sparkContext.broadcast(fm.index)
+    rest = np.setdiff1d(np.arange(len(terms)), best)
+    common = rest[np.argsort(-(a + b)[rest], kind="stable")[:PAIRED]]
+    tried = np.concatenate([best, common])
+    shared = spark.sparkContext.broadcast({int(t): i for i, t in enumerate(terms[tried])})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -153,8 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
 
     got = rows.mapInArrow(pick, "terms array<int>, toxic int").toArrow()
     data = sorted(zip(got["terms"].to_pylist(), got["toxic"].to_pylist()))  # the order of rows must not matter
-    if data:
-        fm.fit([r for r, _ in data], np.array([y for _, y in data], float))
+    y = np.array([v for _, v in data], float)
+    some = np.concatenate([np.arange(min(len(best), WITH)), len(best) + np.arange(len(common))])
+    place = {int(x): i for i, x in enumerate(some)}
+    more = pair_gains([[place[t] for t in r if t in place] for r, _ in data], y, len(some), gain[tried[some]])
+    found = np.flatnonzero((more > PAIR_GAIN) & (some >= len(best)))
+    found = some[found[np.argsort(-more[found], kind="stable")]][: max(0, KEPT - len(best))]
+    kept = [*range(len(best)), *found.tolist()]
+    fm = FactorizationMachine(terms[tried[kept]].tolist(), float(np.log((toxic + 0.5) / (clean + 0.5))))
+    again = {x: i for i, x in enumerate(kept)}
+    fm.fit([[again[t] for t in r if t in again] for r, _ in data], y)
     return fm
 
 
@@ -162,7 +212,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool =
     """Score every row of docs by its whole text: doc_id, held_out, score (0 to 1), predicted (1 from 0.5).
 
     Nothing but the text enters a score. A null or empty text has the score of a text without known terms; repeated
-    rows are scored alike; a null doc_id is never held out. keep: return score, predicted and the whole row as _row.
+    rows are scored alike; a null doc_id is never held out. Without labels of both kinds every score is about 0 and
+    nothing is predicted. keep: return score, predicted and the whole row as _row, of any names and types.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels, sample))
@@ -177,10 +228,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool =
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row") if keep else F.col("doc_id")
     rows = docs.select(row, "text")
-    out = rows.mapInArrow(run, f"{first} {rows.schema[0].dataType.simpleString()}, score double, predicted int")
+    out = rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
     return out if keep else out.select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns."""
+    """The rows of docs that are not predicted toxic, with their columns; all rows where nothing can be learned, as there
+    are no labels or only labels of one kind."""
     return score(docs, labels, keep=True).where("predicted = 0").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
