@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import tune, wide
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Characters after which a conversation goes on in another segment, at the next turn.
-SEGMENT = 1 << 20
+#: Characters after which a conversation goes on in another row, at the next turn: what a task holds, and what fits
+#: in a row, is bounded, and one conversation may be a third of the table.
+SEGMENT = 4 << 20
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
 
@@ -82,8 +84,8 @@ def mask(starts: np.ndarray, ends: np.ndarray, turns: list[tuple[int, int]]) ->
     return hit, spans
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_SCHEMA = "conv_id long, segment int, n_turns int, formatted string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SCHEMA = "conv_id long, segment int, start long, n_turns int, formatted string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:long,end:long>>"
 
 
 def format_conversations(turns: DataFrame, tokenizer_path: str, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -93,11 +95,12 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, trained: tuple[s
     and text; nulls in role or text are empty; repeated rows are turns of their own; rows without a conv_id form
     one conversation whose id is null; an empty table gives no rows.
 
-    Returns conv_id, segment (from 0), n_turns, formatted, ids, loss_mask (by token) and loss_spans (code points of
-    formatted that the mask covers in turns of the trained roles). A conversation is one segment up to a megabyte
-    of text; a longer one goes on in further segments, cut before a turn, where the encoding is cut by a control
-    token anyway. So however many rows one conversation has, a task streams it and never holds it. Segments of a
-    partition are in order.
+    Returns conv_id, segment (from 0), start (code points of the conversation before the segment), n_turns, formatted,
+    ids, loss_mask (by token) and loss_spans (code points of the whole conversation that the mask covers in turns of
+    the trained roles). The encoding of a conversation is its segments' ids one after the other, the same as if it were
+    encoded at once: a segment ends only before a turn, and there a control token cuts the encoding anyway. Every text
+    is encoded once. Up to SEGMENT characters a conversation is one row; a longer one is streamed, never held. Segments
+    of a partition are in order.
     """
     spark = turns.sparkSession
     tune(spark)
@@ -107,26 +110,26 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, trained: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(shared.value)
         done: list[tuple] = []
-        current, segment = None, 0
+        current, segment, start = None, 0, 0
         parts: list[str] = []
         spans: list[tuple[int, int]] = []
-        n, size, began = 0, 0, False
+        n, size, began, held = 0, 0, False, 0
 
         def close() -> None:
-            nonlocal n, size, segment, parts, spans
+            nonlocal n, size, segment, start, parts, spans
             text = "".join(parts)
             enc = tok.encode(text, add_special_tokens=False)
-            where = np.array(enc.offsets, np.int64).reshape(-1, 2)
+            where = np.fromiter(chain.from_iterable(enc.offsets), np.int64).reshape(-1, 2)
             hit, covered = mask(where[:, 0], where[:, 1], spans)
-            done.append((current, segment, n, text, enc.ids, hit, covered))
-            parts, spans, n, size, segment = [], [], 0, 0, segment + 1
+            done.append((current, segment, start, n, text, enc.ids, hit, [{"start": start + a, "end": start + z} for a, z in covered]))
+            parts, spans, n, size, segment, start = [], [], 0, 0, segment + 1, start + size
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*done)) or [()] * 7
+            cols = list(zip(*done)) or [()] * 8
             b = pa.RecordBatch.from_pydict({
-                "conv_id": pa.array(cols[0], pa.int64()), "segment": pa.array(cols[1], pa.int32()), "n_turns": pa.array(cols[2], pa.int32()),
-                "formatted": pa.array(cols[3], pa.string()), "ids": pa.array(cols[4], pa.list_(pa.int32())), "loss_mask": pa.array(cols[5], pa.list_(pa.bool_())),
-                "loss_spans": pa.array([[{"start": a, "end": z} for a, z in s] for s in cols[6]], _SPANS),
+                "conv_id": pa.array(cols[0], pa.int64()), "segment": pa.array(cols[1], pa.int32()), "start": pa.array(cols[2], pa.int64()),
+                "n_turns": pa.array(cols[3], pa.int32()), "formatted": pa.array(cols[4], pa.string()), "ids": pa.array(cols[5], pa.list_(pa.int32())),
+                "loss_mask": pa.array(cols[6], pa.list_(pa.bool_())), "loss_spans": pa.array(cols[7], _SPANS),
             })
             done.clear()
             return b
@@ -135,7 +138,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, trained: tuple[s
             for conv, role, text in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("text").to_pylist()):
                 if began and conv != current:
                     close()
-                    segment = 0
+                    segment = start = 0
                 elif size >= SEGMENT:
                     close()
                 current, began = conv, True
@@ -145,8 +148,10 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, trained: tuple[s
                 parts.append(f"{head}{body}{END}\n")
                 size += len(parts[-1])
                 n += 1
-                if len(done) >= 64:
+                held += len(parts[-1])
+                if len(done) >= 64 or held >= SEGMENT:
                     yield flush()
+                    held = 0
             yield flush()
         if n:
             close()
@@ -181,7 +186,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return b
 
         for b in batches:
-            for conv, segment, text, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "formatted", "loss_spans"))):
+            for conv, segment, start, text, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "start", "formatted", "loss_spans"))):
                 if began and segment == 0:
                     out.append((current, n, turns.hexdigest(), loss, lost.hexdigest(), chars))
                     n = chars = loss = 0
@@ -192,7 +197,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     n += 1
                     turns.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
                 for s in spans:
-                    under = unescape(text[s["start"] : s["end"]])
+                    under = unescape(text[s["start"] - start : s["end"] - start])
                     loss += len(under)
                     lost.update(under.encode())
             yield flush()
@@ -200,7 +205,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             out.append((current, n, turns.hexdigest(), loss, lost.hexdigest(), chars))
         yield flush()
 
-    return formatted.select("conv_id", "segment", "formatted", "loss_spans").mapInArrow(
+    return formatted.select("conv_id", "segment", "start", "formatted", "loss_spans").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
