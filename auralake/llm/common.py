@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; bounds what a Python worker holds at once, since texts can be long.
@@ -22,9 +23,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one in local mode, whose
+    only machine is the driver's; on a cluster its executors would not share such a folder, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -63,6 +67,16 @@ def wide(df: DataFrame, factor: int = 1) -> int:
     return max(int(conf), df.sparkSession.sparkContext.defaultParallelism) * factor
 
 
+#: Bytes of text for which there is a bucket, where one task holds a bucket of records of the texts at a time.
+BUCKET_BYTES = 16 << 20
+
+
+def buckets_for(docs: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """Buckets by the bytes of all texts, so that a bucket's size does not grow with the table."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(wide(docs), -(-total // each))
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
     """Runs of equal keys in a stream that is sorted by key. Holds one run at a time."""
     held: list[pa.RecordBatch] = []
@@ -121,13 +135,26 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Parts into which the edges of one node are split.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """u, v and m, the smallest v of each u. The edges of a hub are dealt over SALTS tasks; what meets by u alone is
+    at most one row for each of them."""
+    salted = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    own = salted.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = own.select("u", "part", F.min("m").over(Window.partitionBy("u")).alias("m"))
+    return salted.join(least, ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find. edges (u long, v long), any order and repeats; returns (node, root), the root
     being the smallest node that is reachable; only nodes with a link to another appear.
 
     Each partition first contracts its own edges to stars (a spanning forest, so no link is lost), then rounds of
     large-star and small-star hook roots to smaller ones until nothing changes. Groups are never gathered: a
-    round takes the minimum of each node's neighbours, which is pre-aggregated, and joins it back.
+    round takes the minimum of each node's neighbours, which is pre-aggregated, and joins it back, a hub's in parts.
     """
     spark = edges.sparkSession
     e = edges.where("u is not null and v is not null and u <> v").select(
@@ -140,12 +167,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: every neighbour larger than u hooks to the smallest of u's neighbours and u.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.where("u <> v").distinct()
         # Small star: u and its smaller neighbours hook to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = _with_least(large).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")
         )
         new = stage(small.select("s.u", "s.v").where("u <> v").distinct(), "edges")

@@ -15,6 +15,8 @@ from .common import UnionFind, components, groups, maybe_in, membership, stage,
 SEED = 42
 #: Members of a shard above which it is cut again by the bits that its members don't share.
 LARGEST = 20_000
+#: Free bits at which a shard isn't cut any more: it has 2 ** FEW members at most, as they are distinct.
+FEW = 16
 
 
 def hash_shingles(text: str, words: int = 3) -> np.ndarray:
@@ -86,7 +88,7 @@ def _signed(x: int) -> int:
 
 def _shards(masks: list[int], fps: DataFrame) -> DataFrame:
     """A row for each fingerprint and mask: the shard is the mask and the bits under it."""
-    each = [F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)]
+    each = [F.struct(F.lit(i).cast("long").alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)]
     return fps.select("fp", "node", F.explode(F.array(*each)).alias("s")).select("fp", "node", "s.block", "s.bits")
 
 
@@ -94,19 +96,19 @@ def links(fps: DataFrame, radius: int = 2, largest: int = LARGEST) -> DataFrame:
     """Links u, v between the nodes of fps (fp long, distinct; node long) at `radius` or fewer differing bits.
 
     Fingerprints within the radius agree on one of radius + 1 blocks of bits, so each shard holds those that agree
-    on a block. A shard over `largest` is cut again, exactly, by blocks of its remaining bits, as often as need be
-    while bits remain to be cut. Each shard builds its BK-tree and returns a spanning forest of its links, from
+    on a block. A shard over `largest` is cut again, exactly, by blocks of its remaining bits, until it is small or has
+    no more than FEW of them. Each shard builds its BK-tree and returns a spanning forest of its links, from
     which components are the same: at most one row for each member, never all pairs.
     """
-    fps = fps.where("node is not null")
     masks = block_masks((1 << 64) - 1, radius + 1)
     small: list[DataFrame] = []
     shards = _shards(masks, fps)
     fixed = dict(enumerate(masks))
-    for depth in range(3):
+    while True:
         sizes = shards.groupBy("block", "bits").agg(F.count("*").alias("n"))
         hot = stage(sizes.where(F.col("n") > largest).select("block", "bits"), "hot")
-        if depth == 2 or hot.isEmpty():
+        left = {b: ((1 << 64) - 1) & ~m for b, m in fixed.items()}
+        if hot.isEmpty() or min(m.bit_count() for m in left.values()) <= FEW:
             small.append(shards.join(sizes.where("n > 1").select("block", "bits"), ["block", "bits"], "left_semi"))
             break
         fine = sizes.where((F.col("n") > 1) & (F.col("n") <= largest)).select("block", "bits")
@@ -114,11 +116,11 @@ def links(fps: DataFrame, radius: int = 2, largest: int = LARGEST) -> DataFrame:
         large = shards.join(hot, ["block", "bits"], "left_semi")
         nxt, new = [], {}
         for b, m in fixed.items():
-            for k, sub in enumerate(block_masks(((1 << 64) - 1) & ~m, radius + 1)):
+            for k, sub in enumerate(block_masks(left[b], radius + 1)):
                 key = (b + 1) * (radius + 2) + k
                 new[key] = m | sub
-                nxt.append(F.when(F.col("block") == b, F.struct(F.lit(key).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m | sub))).alias("bits"))))
-        shards = large.select("fp", "node", F.explode(F.filter(F.array(*nxt), lambda s: s.isNotNull())).alias("s")).select("fp", "node", "s.block", "s.bits")
+                nxt.append(F.when(F.col("block") == b, F.struct(F.lit(key).cast("long").alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m | sub))).alias("bits"))))
+        shards = stage(large.select("fp", "node", F.explode(F.filter(F.array(*nxt), lambda s: s.isNotNull())).alias("s")).select("fp", "node", "s.block", "s.bits"), "shards")
         fixed = new
     every = small[0]
     for s in small[1:]:
@@ -163,37 +165,36 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
     Returns doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id that is reachable) for each row
     of docs (doc_id, text; other columns are ignored). Null and empty texts share fingerprint zero; repeated rows
-    give repeated rows; a row with a null doc_id takes its component from the others of its fingerprint, and makes no
-    links where all of them are null (component_id is then null).
+    give repeated rows; different texts of one doc_id are linked only if their fingerprints are; a row with a null
+    doc_id makes links like any other, and component_id is null where a class has no doc_id at all.
 
-    Equal fingerprints, however many, are one node before anything is compared.
+    A fingerprint, however many rows have it, is one node.
     """
     fp = stage(fingerprints(docs, words), "fingerprints")
-    nodes = stage(fp.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    comp = components(links(nodes, radius))
-    roots = nodes.join(comp, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = stage(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    comp = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    known = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = known.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fp.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: The pipeline's near-duplicates: words of a shingle and least Jaccard similarity of the sets of shingles.
 STAGE_WORDS, SIMILAR = 5, 0.8
-#: Differing bits up to which pairs are compared (pairs at 0.8 differ in about 10 of 64, with deviation 3), the bits
-#: at which a table must still find a pair, and the chance of missing such a pair in all tables.
-WITHIN, TYPICAL, MISSED = 14, 10, 0.03
-#: Documents that are verified together; more are verified in pairs of blocks.
+#: Differing bits up to which pairs are compared (pairs at 0.8 differ in about 10 of 64, with deviation 3), and tables
+#: of sampled bits. What they don't find, the prefixes of the sets do, so their number does not follow the table.
+WITHIN, TABLES = 14, 12
+#: Documents that are verified together, at most.
 BLOCK = 2_000
 #: Buckets of shingles, as a power of two, and documents whose shingles are counted for the order of prefixes, about.
 RARITY_BITS, RARITY_SAMPLE = 18, 20_000
 
 
 def tables(n: int) -> list[int]:
-    """Masks of sampled bits. A shard holds about 32 unrelated fingerprints whatever n is, and there are as many
-    tables as it takes to keep the chance of a miss."""
+    """TABLES masks of sampled bits, of so many bits that a shard holds about 32 unrelated fingerprints whatever n is."""
     bits = max(6, min(40, int(np.ceil(np.log2(max(2, n)))) - 5))
-    hit = (1 - TYPICAL / 64) ** bits
     rng = np.random.default_rng(7)
-    count = int(np.ceil(np.log(MISSED) / np.log(1 - hit)))
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(count)]
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(TABLES)]
 
 
 def shingle_set(text: str, words: int = STAGE_WORDS) -> np.ndarray:
@@ -240,28 +241,38 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> Iterator[tu
 
 
 class Proposals:
-    """Groups of documents to be verified, each but once in a task; large ones as pairs of blocks."""
+    """Groups of documents to be verified, each but once in a task. Large ones are dealt: in blocks that all hold the
+    first member, which links copies of one text at a row each, or, where every pair counts, as pairs of blocks."""
 
-    def __init__(self) -> None:
+    def __init__(self, pairs: bool) -> None:
+        self.pairs = pairs
         self.grp: list[np.ndarray] = []
         self.nodes: list[np.ndarray] = []
         self.met: set[int] = set()
 
+    def dealt(self, m: np.ndarray) -> Iterator[np.ndarray]:
+        if len(m) <= BLOCK:
+            yield m
+        elif self.pairs:
+            blocks = [m[a : a + BLOCK // 2] for a in range(0, len(m), BLOCK // 2)]
+            for i, x in enumerate(blocks):
+                for y in blocks[i + 1 :]:
+                    yield np.union1d(x, y)
+        else:
+            for a in range(1, len(m), BLOCK - 1):
+                yield np.concatenate([m[:1], m[a : a + BLOCK - 1]])
+
     def add(self, uf: UnionFind) -> None:
         members: dict[int, list[int]] = {}
         for n in uf.up:
             members.setdefault(uf.find(n), []).append(n)
         for m in members.values():
-            m = np.array(sorted(m), np.int64)
-            blocks = [m] if len(m) <= BLOCK else [m[a : a + BLOCK // 2] for a in range(0, len(m), BLOCK // 2)]
-            for i, x in enumerate(blocks):
-                for y in blocks[i + (len(blocks) > 1) :] if len(blocks) > 1 else [x]:
-                    s = np.union1d(x, y)
-                    g = xxhash.xxh64_intdigest(s.tobytes())
-                    if g not in self.met:
-                        self.met.add(g)
-                        self.grp.append(np.full(len(s), np.array([g], np.uint64).view(np.int64)[0]))
-                        self.nodes.append(s)
+            for s in self.dealt(np.array(sorted(m), np.int64)):
+                g = xxhash.xxh64_intdigest(s.tobytes())
+                if g not in self.met:
+                    self.met.add(g)
+                    self.grp.append(np.full(len(s), np.array([g], np.uint64).view(np.int64)[0]))
+                    self.nodes.append(s)
 
     def flush(self) -> pa.RecordBatch:
         grp, nodes = (np.concatenate(x) if x else [] for x in (self.grp, self.nodes))
@@ -273,7 +284,7 @@ def _clusters(radius: int):
     """Members of each shard that are linked in its BK-tree, as groups to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Proposals()
+        out = Proposals(pairs=False)  # what that leaves is for the prefixes to find
         for _, t in groups(batches, "shard"):
             if t.num_rows < 2:
                 continue
@@ -297,8 +308,8 @@ def _clusters(radius: int):
 
 def rarity(docs: DataFrame, words: int = STAGE_WORDS) -> np.ndarray:
     """Levels of the buckets of shingles, by how many of about RARITY_SAMPLE documents hold one of a bucket's."""
-    share = min(1.0, RARITY_SAMPLE / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("rarity")), F.lit(1_000_000)) < int(share * 1_000_000))
+    n = docs.count()
+    some = docs if n <= RARITY_SAMPLE else docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("rarity")), 2) < int(RARITY_SAMPLE / n * (1 << 62)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << RARITY_BITS, np.int64)
@@ -325,7 +336,7 @@ def prefix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Nodes that share a shingle of their prefixes and may be similar by size and by place of the first such shingle,
     as groups to be verified; nodes of one component needn't be."""
-    out = Proposals()
+    out = Proposals(pairs=True)
     for _, t in groups(batches, "key"):
         node, comp, size, pos = (t[c].to_numpy() for c in ("node", "comp", "size", "pos"))
         uf = UnionFind()
@@ -354,17 +365,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = WITHIN) -> DataFrame:
-    """doc_id, component_id: classes of documents whose sets of `words`-word shingles have a Jaccard similarity of 0.8
-    or more, directly or over others; one row for each row of docs with a doc_id.
+    """doc_id, text_hash (xxhash64 of the text, null as empty) and component: classes of texts whose sets of
+    `words`-word shingles have a Jaccard similarity of 0.8 or more, directly or over others; one row for each row of
+    docs with a doc_id. component is any number that the rows of a class have in common.
 
-    Documents with equal sets are one node. Fingerprints of the sets meet in shards of sampled bits; a shard's BK-tree
-    proposes clusters within `radius` bits, and each proposed cluster is verified exactly on the documents' sets. That
+    Texts with equal sets are one node. Fingerprints of the sets meet in shards of sampled bits; a shard's BK-tree
+    proposes clusters within `radius` bits, and each proposed cluster is verified exactly on the texts' sets. That
     finds most pairs. Pairs of different components that share a shingle of their prefixes, which all similar pairs
     do, are verified after that, so none is missed.
     """
     spark = docs.sparkSession
     tune(spark)
-    own = docs.select("doc_id", "text").where("doc_id is not null")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     shared = spark.sparkContext.broadcast(rarity(own, words))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,12 +387,14 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
             sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
             keys = [prefix(x, level).view(np.int64) for x in h]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "fp": pa.array(fp), "sig": pa.array(sig),
+                "doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "fp": pa.array(fp), "sig": pa.array(sig),
                 "size": pa.array(list(map(len, h)), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
             })
 
-    marked = stage(own.mapInArrow(mark, "doc_id long, fp long, sig long, size long, keys array<long>"), "marked")
-    nodes = stage(marked.groupBy("sig").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("sig", F.col("m.doc_id").alias("node"), F.col("m.fp").alias("fp")), "nodes")
+    marked = stage(own.mapInArrow(mark, "doc_id long, text_hash long, fp long, sig long, size long, keys array<long>"), "marked")
+    #: Of the rows of a node the first one stands for it: its text is fetched where the node is to be verified.
+    first = F.min(F.struct("doc_id", "text_hash", "fp")).alias("m")
+    nodes = stage(marked.groupBy("sig").agg(first).select(F.col("sig").alias("node"), F.col("m.fp").alias("fp"), F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash")), "nodes")
     n = wide(docs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,16 +403,18 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
 
     def verified(met: DataFrame) -> DataFrame:
         # The texts stay where they are: a bit table of fixed size picks those that are needed, and the join is exact.
-        wanted = maybe_in(own, "doc_id", membership(met, "node"))
-        data = wanted.select(F.col("doc_id").alias("node"), "text").mapInArrow(sets, "node long, data binary")
+        wanted = met.select("node").distinct().join(nodes, "node").select("node", "doc_id", "text_hash")
+        some = maybe_in(own, "doc_id", membership(wanted, "doc_id")).join(wanted, ["doc_id", "text_hash"])
+        data = some.select("node", "text").mapInArrow(sets, "node long, data binary")
         return met.join(data, "node").select("grp", "node", "data").repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified, "u long, v long")
 
     dealt = _shards(tables(nodes.count()), nodes).select(F.xxhash64("block", "bits").alias("shard"), "fp", "node").repartition(n, "shard").sortWithinPartitions("shard", "fp", "node")
     met = stage(dealt.mapInArrow(_clusters(radius), "grp long, node long").distinct(), "clusters")
     comp = components(verified(met))
 
-    known = nodes.join(comp, "node", "left").select("sig", F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("comp"))
-    lists = stage(marked.select("doc_id", "sig", "size", "keys").join(known, ["sig", "doc_id"]).select(F.col("doc_id").alias("node"), "comp", "size", "keys").where("size > 0"), "prefixes")
+    known = nodes.join(comp, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("comp"))
+    firsts = marked.select("doc_id", "text_hash", F.col("sig").alias("node"), "size", "keys").join(known, ["node", "doc_id", "text_hash"])
+    lists = stage(firsts.select("node", "comp", "size", "keys").where("size > 0"), "prefixes")
     held = lists.select("node", "comp", "size", F.posexplode("keys").alias("pos", "key"))
     several = stage(held.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"), "keys")
     open_ = maybe_in(held, "key", membership(several, "key")).join(several, "key", "left_semi").select("key", "node", "comp", "size", F.col("pos").cast("long").alias("pos"))
@@ -406,24 +422,28 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
     if not met.isEmpty():
         more = verified(met)
         comp = components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    roots = nodes.join(comp, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(roots, "sig").select("doc_id", "component_id")
+    roots = nodes.join(comp, "node", "left").select(F.col("node").alias("sig"), F.coalesce("root", "node").alias("component"))
+    return marked.join(roots, "sig").select("doc_id", "text_hash", "component")
 
 
 def drop_duplicates(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """docs with one document of each class of similar_documents(): the one with the smallest doc_id.
 
-    All columns are kept. Rows without a doc_id stay; of rows with one doc_id one stays, the smallest by text; null and
-    empty texts are one class; an empty table gives no rows.
+    All columns are kept, whatever their names and types. Rows without a doc_id stay; a doc_id that occurs with
+    different texts is as many documents, of which in one class the one with the smallest hash counts as the first; of
+    rows that repeat doc_id and text one stays, the first by its JSON; null and empty texts are one class; an empty
+    table gives no rows.
     """
     classes = stage(similar_documents(docs, words), "classes")
-    gone = stage(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    some = docs.where("doc_id is not null")
-    members = membership(gone, "doc_id")
+    stays = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = classes.join(stays, "component").where("struct(doc_id, text_hash) <> first").select("doc_id", "text_hash").distinct()
+    gone = stage(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    some = docs.where("doc_id is not null").select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    members = membership(gone, "_id")
     # Rows that surely stay aren't shuffled; those that a bit table of fixed size can't tell are, by an exact join.
-    kept = maybe_in(some, "doc_id", members).join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = kept.unionByName(maybe_in(some, "doc_id", members, inside=False))
-    if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rest = F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
-        kept = kept.groupBy("doc_id").agg(F.min(rest).alias("_r")).select(*["doc_id" if c == "doc_id" else F.col(f"_r.`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = maybe_in(some, "_id", members).join(gone, ["_id", "_hash"], "left_anti").select("_row", "_id", "_hash")
+    kept = kept.unionByName(maybe_in(some, "_id", members, inside=False))
+    if not classes.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        kept = kept.groupBy("_id", "_hash").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
