@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +10,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import UnionFind, components, groups, stage, tune, wide
+from .common import UnionFind, buckets_for, components, groups, stage, tune, wide
 from .simhash import similar_links
 from .substring import mixed, string_hashes
 
@@ -23,10 +23,12 @@ SHINGLE, SIMILAR, BANDS, ROWS = 7, 0.8, 12, 5
 BINS = BANDS * ROWS
 #: Text of which one task compares exact copies before the shuffle, and code points that are hashed at a time.
 CHUNK, PIECE = 32 << 20, 1 << 15
-#: Members of a band that are verified together; more are verified in pairs of blocks.
+#: Members of a band that are verified together, at most.
 BLOCK = 1_000
 
-LINE = np.dtype([("h", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("line", "<i4")])
+#: check: bits of a line's hash beyond h, so that 96 bits tell lines apart where there are 10 ** 12 of them.
+LINE = np.dtype([("h", "<i8"), ("check", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("line", "<i4")])
+LOW = (1 << 64) - 1
 BAND = np.dtype([("band", "<i8"), ("h", "<i8")])
 _ROW = "bucket int, kind string, key long, data binary"
 _FOUND = "kind string, grp long, h long, doc long, key long, line int, data binary"
@@ -114,7 +116,8 @@ def _sign(buckets: int):
         def close() -> Iterator[pa.RecordBatch]:
             yield from sign()
             out = np.empty(len(seen), LINE)
-            out["h"] = np.fromiter(seen, np.uint64, len(seen)).view(np.int64)
+            out["h"] = np.fromiter((x & LOW for x in seen), np.uint64, len(seen)).view(np.int64)
+            out["check"] = np.fromiter((x >> 96 for x in seen), np.uint32, len(seen))
             for i, c in enumerate(("doc", "key", "line")):
                 out[c] = np.fromiter((v[i] for v in seen.values()), np.int64, len(seen))
             yield _dealt(out, "h", buckets, "L")
@@ -128,13 +131,13 @@ def _sign(buckets: int):
                     x = normal(line)
                     if not x:
                         continue
-                    h = xxhash.xxh64_intdigest(x)
+                    h = xxhash.xxh3_128_intdigest(x)
                     here = (doc, key, i)
                     first = seen.get(h)
                     if first is None:
                         seen[h] = here
                         lines.append(x)
-                        hashes.append(h)
+                        hashes.append(h & LOW)
                     elif first != here:
                         if here < first:
                             seen[h], here = here, first
@@ -161,7 +164,8 @@ def _group_id(h: np.ndarray) -> int:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First occurrence of each exact line (K) and marks of the others (M); lines that meet in a band (C)."""
+    """First occurrence of each exact line (K) and marks of the others (M); lines that meet in a band (C). A large band
+    is dealt in blocks that all hold its first line, and given in whole as well (G), for _remaining()."""
     for _, t in groups(batches, "bucket"):
         kind = t["kind"]
         m = t.filter(pc.equal(kind, "M"))
@@ -170,8 +174,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = t.filter(pc.equal(kind, "L"))["data"].to_pylist()
         if blobs:
             r = np.frombuffer(b"".join(blobs), LINE)
-            r = r[np.lexsort((r["line"], r["key"], r["doc"], r["h"]))]
-            new = np.concatenate([[True], r["h"][1:] != r["h"][:-1]])
+            r = r[np.lexsort((r["line"], r["key"], r["doc"], r["check"], r["h"]))]
+            new = np.concatenate([[True], (r["h"][1:] != r["h"][:-1]) | (r["check"][1:] != r["check"][:-1])])
             k = r[new]
             yield _found("K", **{c: np.ascontiguousarray(k[c]) for c in ("h", "doc", "key", "line")})
             first = k[np.cumsum(new) - 1]
@@ -187,21 +191,40 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = r[np.lexsort((r["h"], r["band"]))]
         r = r[np.concatenate([[True], (r["band"][1:] != r["band"][:-1]) | (r["h"][1:] != r["h"][:-1])])]
         cuts = np.concatenate([[0], np.flatnonzero(r["band"][1:] != r["band"][:-1]) + 1, [len(r)]])
-        met: set[int] = set()
-        grp: list[np.ndarray] = []
-        hs: list[np.ndarray] = []
+        met: set[tuple[str, int]] = set()
+        out: dict[str, list[list[np.ndarray]]] = {"C": [[], []], "G": [[], []]}
         for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
             h = np.ascontiguousarray(r["h"][cuts[i] : cuts[i + 1]])
-            blocks = [h] if len(h) <= BLOCK else [h[a : a + BLOCK] for a in range(0, len(h), BLOCK)]
-            sets = blocks if len(blocks) == 1 else [np.union1d(x, y) for x, y in combinations_with_replacement(blocks, 2)]
-            for s in sets:
+            large = len(h) > BLOCK
+            sets = [np.concatenate([h[:1], h[a : a + BLOCK - 1]]) for a in range(1, len(h), BLOCK - 1)]
+            for kind, s in [("C", x) for x in sets] + [("G", h)] * large:
                 g = _group_id(s)
-                if g not in met:  # other bands often hold the same lines
-                    met.add(g)
-                    grp.append(np.full(len(s), g, np.int64))
-                    hs.append(s)
-        if grp:
-            yield _found("C", grp=np.concatenate(grp), h=np.concatenate(hs))
+                if (kind, g) not in met:  # other bands often hold the same lines
+                    met.add((kind, g))
+                    out[kind][0].append(np.full(len(s), g, np.int64))
+                    out[kind][1].append(s)
+        for kind, (grp, hs) in out.items():
+            if grp:
+                yield _found(kind, grp=np.concatenate(grp), h=np.concatenate(hs))
+
+
+def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of large bands whose lines aren't all linked yet: the lines outside the largest component, in blocks, with every
+    other line. Pairs of that component need no comparison."""
+    for _, t in groups(batches, "grp"):
+        h, comp = t["h"].to_numpy(), t["comp"].to_numpy()  # sorted by comp
+        starts = np.concatenate([[0], np.flatnonzero(comp[1:] != comp[:-1]) + 1, [len(comp)]])
+        if len(starts) == 2:
+            continue
+        at = int(np.argmax(np.diff(starts)))
+        most = np.zeros(len(h), bool)
+        most[starts[at] : starts[at + 1]] = True
+        rest, whole = h[~most], np.concatenate([h[~most], h[most]])
+        half = BLOCK // 2
+        for a in range(0, len(rest), half):
+            for z in range(a, len(whole), half):
+                s = np.union1d(rest[a : a + half], whole[z : z + half])
+                yield pa.RecordBatch.from_pydict({"grp": pa.array(np.full(len(s), _group_id(s), np.int64)), "h": pa.array(s)})
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,15 +285,22 @@ def line_classes(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
-    n = wide(docs)
-    signed = rows.mapInArrow(_sign(n), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket")
+    n, buckets = wide(docs), buckets_for(docs)
+    signed = rows.mapInArrow(_sign(buckets), _ROW).repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     found = stage(signed.mapInArrow(_meet, _FOUND), "lines")
     firsts = found.where("kind = 'K'").select("h", "doc", "key", "line")
-    met = found.where("kind = 'C'").select("grp", "h").distinct()
-    wanted = met.select("h").distinct().join(firsts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "line")).alias("wanted"))
-    lines = rows.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_fetch, "h long, text string")
-    edges = met.join(lines, "h").select("grp", "h", "text").repartition(n, "grp").sortWithinPartitions("grp", "h").mapInArrow(_verify, "u long, v long")
-    comp = components(edges)
+
+    def verified(met: DataFrame) -> DataFrame:
+        wanted = met.select("h").distinct().join(firsts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "line")).alias("wanted"))
+        lines = rows.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_fetch, "h long, text string")
+        return met.join(lines, "h").select("grp", "h", "text").repartition(n, "grp").sortWithinPartitions("grp", "h").mapInArrow(_verify, "u long, v long")
+
+    comp = components(verified(found.where("kind = 'C'").select("grp", "h").distinct()))
+    large = found.where("kind = 'G'").select("grp", "h").distinct()
+    tagged = large.join(comp.withColumnRenamed("node", "h"), "h", "left").select("grp", "h", F.coalesce("root", "h").alias("comp"))
+    rest = stage(tagged.repartition(n, "grp").sortWithinPartitions("grp", "comp", "h").mapInArrow(_remaining, "grp long, h long").distinct(), "remaining")
+    if not rest.isEmpty():
+        comp = components(verified(rest).unionByName(comp.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     every = comp.union(comp.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "h")
     at = F.struct("doc", "key", "line")
     own = every.join(firsts, "h").select("root", at.alias("at"))
@@ -303,7 +333,8 @@ def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")
     keyed = docs.select(row, F.col("text").alias("_text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
     joined = keyed.join(line_classes(docs), "_key", "left").select("_row", "_text", "_marks")
-    out = joined.mapInArrow(_cut, f"_row {joined.schema['_row'].dataType.simpleString()}, _kept string, _removed array<int>, _lines long")
+    added = [T.StructField("_kept", T.StringType()), T.StructField("_removed", T.ArrayType(T.IntegerType())), T.StructField("_lines", T.LongType())]
+    out = joined.mapInArrow(_cut, T.StructType([joined.schema["_row"], *added]))
     if report:
         return out.select("_row.doc_id", F.col("_lines").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.col("_removed").alias("removed"), F.col("_kept").alias("kept"))
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}

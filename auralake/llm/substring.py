@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, tune, wide
+from .common import buckets_for, groups, tune
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -467,10 +467,10 @@ def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tune(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
-    n = wide(docs)
+    n = buckets_for(docs)
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+        return df.repartitionById(n, "bucket").sortWithinPartitions("bucket")
 
     def by_key(df: DataFrame) -> DataFrame:
         return dealt(df).mapInArrow(_by_key, "key long, anchors binary, marks binary")

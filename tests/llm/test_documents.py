@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from auralake.llm import bpe, digest, lines, packing, secrets, simhash, substring
+from auralake.llm import bpe, digest, lines, packing, secrets, simhash, substring, toxicity
 from auralake.llm.common import components
 
 from .fixtures import documents, rows
@@ -130,7 +130,18 @@ def test_simhash(docs):
     assert by_row(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
 
 
-def test_simhash_links_cut_hot_shards(spark):
+def test_simhash_texts_of_one_id_stay_apart(spark, monkeypatch):
+    marks = {"a": 3, "b": 9, "c": 0xFF00FF00, "d": 0xFF00FF01}
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, w: spark.createDataFrame([(5, 3), (5, 0xFF00FF00), (7, 0xFF00FF01), (9, 9), (None, 0x7F0)], "doc_id long, fp long"))
+    got = simhash.near_duplicates(spark.createDataFrame([(1, "")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got} == {(5, 3, 5), (9, 9, 5), (5, marks["c"], 5), (7, marks["d"], 5), (None, 0x7F0, None)}
+    fp = spark.createDataFrame([(5, 3), (5, 0xFF00FF00), (3, 0xFF00FF01), (9, 9)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, w: fp)
+    got = simhash.near_duplicates(spark.createDataFrame([(1, "")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in got} == {(5, 3, 5), (9, 9, 5), (5, 0xFF00FF00, 3), (3, 0xFF00FF01, 3)}
+
+
+def test_simhash_links_cut_hot_shards(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = int(rng.integers(0, 1 << 62))
     fps = {base} | {base ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 63, (150, 2))} | {int(x) for x in rng.integers(0, 1 << 62, 100)}
@@ -144,20 +155,20 @@ def test_simhash_links_cut_hot_shards(spark):
             if (fps[i] ^ fps[j]).bit_count() <= 2:
                 uf.union(i, j)
     want = {x: uf.find(x) for x in uf.up if uf.find(x) != x}
-    for largest in (5, 20_000):
+    for largest, few in ((5, 25), (5, 45), (20_000, 16)):
+        monkeypatch.setattr(simhash, "FEW", few)
         assert {r.node: r.root for r in components(simhash.links(df, 2, largest)).collect()} == want
 
 
-def test_drop_duplicates(docs):
-    data = rows()
-    sets = {}
-    for r in data:
-        if r[0] is not None:
-            w = words(r[1])
-            s = frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else [])
-            sets[(r[0], r[1])] = s
-    nodes = list(sets)
-    root = {x: x for x in nodes}
+def shingles(text):
+    w = words(text)
+    return frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else [])
+
+
+def survivors(pairs):
+    """The (doc_id, text) of one document of each class; texts of one id are ordered by their hash there, so any may be it."""
+    nodes = sorted({(d, t or "") for d, t in pairs if d is not None})
+    sets, root = {x: shingles(x[1]) for x in nodes}, {x: x for x in nodes}
 
     def find(x):
         while root[x] != x:
@@ -167,19 +178,58 @@ def test_drop_duplicates(docs):
     for i, a in enumerate(nodes):
         for b in nodes[:i]:
             x, y = sets[a], sets[b]
-            if a[0] == b[0] or len(x & y) >= 0.8 * len(x | y):
-                p, q = sorted((find(a), find(b)), key=lambda z: z[0])
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                p, q = sorted((find(a), find(b)))
                 root[q] = p
-    stay = {min(x[0] for x in nodes if find(x) == g) for g in {find(x) for x in nodes}}
+    return {x for x in nodes if find(x) == x}
+
+
+def test_drop_duplicates(docs):
     got = simhash.drop_duplicates(docs)
     assert got.columns == docs.columns
-    ids = [r.doc_id for r in got.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted(set(ids)) and set(ids) == stay
+    rows_ = [(r.doc_id, r.text or "") for r in got.collect() if r.doc_id is not None]
+    assert len(rows_) == len(set(rows_)) and set(rows_) == survivors([(r[0], r[1]) for r in rows()])
+    assert got.where("doc_id is null").count() == sum(r[0] is None for r in rows())
+
+
+def odd_columns(spark, n=4):
+    """Columns whose names are no identifiers, and one that can't be compared; every row twice."""
+    data = [(i, f"text number {i} " * 20, {"a": i}, i) for i in range(n)]
+    return spark.createDataFrame(data * 2, "doc_id long, text string, `a b` map<string,int>, `x.y` int")
+
+
+def test_odd_columns(spark):
+    df = odd_columns(spark)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 5), (0, -1)], "doc_id long, toxic int")
+    for made, n in ((simhash.drop_duplicates(df), 4), (lines.dedup_lines(df), 8), (toxicity.drop_toxic(df, labels), None), (secrets.redact_secrets(df), 8)):
+        got = made.collect()
+        assert made.columns == df.columns and (n is None or len(got) == n) and all(r["a b"]["a"] == r["x.y"] == r.doc_id for r in got)
+
+
+def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(40):  # a chain: neighbours are similar, its ends are not
+        base[r.randrange(60)] = f"v{i}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = simhash.drop_duplicates(df).count(), lines.dedup_lines(df).where("text <> ''").count()
+    monkeypatch.setattr(simhash, "BLOCK", 6)
+    monkeypatch.setattr(lines, "BLOCK", 6)
+    assert (simhash.drop_duplicates(df).count(), lines.dedup_lines(df).where("text <> ''").count()) == want
+    assert want[0] == len(survivors(list(enumerate(texts))))
 
 
 def linked(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    rows_ = sorted(simhash.similar_documents(df).collect(), key=lambda r: r.doc_id)
+    least = {}
+    for r in rows_:
+        least.setdefault(r.component, r.doc_id)
+    return {r.doc_id: least[r.component] for r in rows_}
 
 
 def test_similar_documents_ignore_repeats(spark):
@@ -334,6 +384,22 @@ def test_reduction_keeps_the_optimum():
         assert p.bins + best([n for n, c in p.left.items() for _ in range(c)], cap) == best(items, cap)
 
 
+def test_plan_is_bounded_by_the_capacity():
+    import random
+    import time
+
+    r = random.Random(3)
+    cases = [{3000: 10**9}, {1400: 10**9 + 1}, {2500: 10**9, 1500: 10**8, 1400: 10**9}, {n: r.randrange(1, 10**9) for n in range(1, 4097)}, {r.randrange(1200, 4097): r.randrange(1, 10**9) for _ in range(1500)}]
+    for counts in cases:
+        began = time.time()
+        p = packing.Plan(counts)
+        assert len(p.slots) <= 4 * 4096 and time.time() - began < 5
+        total = Counter()
+        for (n, rank, *_), after in zip(s := sorted(p.slots), [*s[1:], None]):
+            total[n] = rank
+        assert p.bins >= -(-sum(n * c for n, c in counts.items()) // 4096) and set(total) == set(counts)
+
+
 def test_best_fit_keeps_room_when_its_bins_are_as_many():
     p = packing.Plan.__new__(packing.Plan)
     p.capacity, p.left, p.taken, p.bins, p.slots, p.reduced = 10, {7: 10, 2: 10, 1: 10}, {}, 0, [], 0
@@ -362,17 +428,83 @@ def test_secrets(spark, docs):
     assert redacted[10_006] == "[assign]" and redacted[10_005] == "[random]"
 
 
-def test_battery_controls_discoveries():
+PROSE = "lorem ipsum dolor amet consectetur adipiscing elit tempor incididunt labore magna aliqua quis nostrud exercitation ullamco laboris commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim schnell strasse freiheit nachricht verbindung bonjour merci beaucoup fenetre maison gracias ventana corazon".split()
+
+
+def plain_tokens(r, n):
+    """Identifiers, paths, dates and counters of words that the null model does not know."""
+    out = []
+    while len(out) < n:
+        sign = r.choice(["_", "-", "/", ""])
+        style = r.choice([str.lower, str.upper, str.title])
+        parts = [style(r.choice(PROSE)) if r.random() < 0.85 else r.choice(["2024", "20240311", "v2", "07", "123456", "1080"]) for _ in range(12)]
+        t = sign.join(parts)[: r.randrange(24, 60)]
+        out.append(r.choice([t, t, t, f"{r.randrange(10**29):030d}", "2024-03-11-12-30-59-000001", "202403111230590000012024"]))
+    return out
+
+
+def test_battery_finds_random_tokens():
     import random
 
     r = random.Random(1)
-    alphabet = dict(secrets.ALPHABETS)["base62"]
-    found = sum(secrets.discoveries(["".join(r.choices(alphabet, k=40))])[0] for _ in range(300))
-    assert found > 270
-    plain = ["this_is_an_identifier_name_42", "getUserAccountInformationById", "A" * 30, "-" * 30, "1234567890" * 3, "a1b2" * 8]
+    for name in ("HEX", "base32", "base36", "base62", "base64"):
+        alphabet = dict(secrets.ALPHABETS)[name]
+        assert sum(secrets.discoveries(["".join(r.choices(alphabet, k=32))])[0] for _ in range(200)) >= 0.85 * 200, name
+        long = ["".join(r.choices(alphabet, k=600)) for _ in range(5)]
+        assert sum(map(lambda t: secrets.discoveries([t])[0], long)) >= 4, name
+
+
+def test_battery_controls_discoveries():
+    import random
+
+    r = random.Random(2)
+    tokens = [t for t in plain_tokens(r, 4000) if not (t.isalpha() and (t.islower() or t[1:].islower()))]
+    assert len(tokens) > 2500
+    assert sum(secrets.discoveries([t])[0] for t in tokens) <= 8  # RATE is 0.001
+    assert sum(sum(secrets.discoveries(tokens[i : i + 20])) > 0 for i in range(0, len(tokens), 20)) <= 2
+    plain = ["this_is_an_identifier_name_42", "getUserAccountInformationById", "A" * 30, "-" * 30, "1234567890" * 3, "a1b2" * 8, "abcdefghijklmnopqrstuvwxyz0123456789", "https//example/org/some/path/2024"]
     assert not any(secrets.discoveries(plain))
 
 
+def test_battery_by_hand():
+    """The statistics of one token, from their definitions."""
+    alphabet = dict(secrets.ALPHABETS)["base62"]
+    t = "aB3dEfGh1jKlMn0pQrStUvWx"
+    n, k = len(t), len(alphabet)
+    x = [alphabet.index(c) for c in t]
+    chi2 = sum((t.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    kind = [c.isdigit() + 2 * c.isupper() for c in t]
+    m = sum(x) / n
+    serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / (n - 1) / (sum((a - m) ** 2 for a in x) / n)
+    v = [None if c.isdigit() else 1 if c.lower() in "aeiouy" else -1 for c in t]
+    some = [c for c in v if c is not None]
+    m = sum(some) / len(some)
+    both = [(a - m) * (b - m) for a, b in zip(v, v[1:]) if a is not None and b is not None]
+    phonetic = sum(both) / len(both) / (sum((a - m) ** 2 for a in some) / len(some))
+    got = secrets.statistics(np.array([x]), alphabet)[0]
+    assert np.allclose(got, [(chi2 - (k - 1)) / n, sum(a != b for a, b in zip(kind, kind[1:])) / (n - 1), serial, phonetic])
+
+
+def test_random_spans_in_a_table(spark):
+    """Planted keys of a realistic table are found by the battery, and nothing else is."""
+    import random
+
+    r = random.Random(4)
+    alphabet = dict(secrets.ALPHABETS)["base62"]
+    data, want = [], {}
+    for i in range(400):
+        text = " ".join([*r.choices(PROSE, k=40), *plain_tokens(r, 2), *r.choices(PROSE, k=20)])
+        if i % 4 == 0:
+            key = "".join(r.choices(alphabet, k=40))
+            want[i] = f"random:{len(text) + 5}:{len(text) + 45}"
+            text += f" key {key} end"
+        data.append((i, text))
+    got = {x.doc_id: [s for s in x.spans.split(",") if s.startswith("random")] for x in secrets.find_secrets(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    hits = sum(want.get(i) in s for i, s in got.items())
+    false = sum(len([x for x in s if x != want.get(i)]) for i, s in got.items())
+    assert hits >= 0.9 * len(want) and false <= 1
+
+
 def test_secrets_beside_separators():
     key = "q7Rz9LmK2xVb8NwT4sYc1HdJ6fGp3QaE"
     for text in (f"auth={key}", f"https://a.b/c?sig={key}==", f"x/user-data/{key}", f"some-name+{key}/x_y"):

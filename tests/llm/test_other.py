@@ -24,11 +24,12 @@ def conversations():
     return out + [(None, 0, "assistant", "null id"), (4, 1, "sys|tem\nx\\", ""), (4, 2, "assistant", ""), (5, 1, "assistant", None)]
 
 
-def test_chat(spark):
+def test_chat(spark, monkeypatch):
     data = [(*r, "extra") for r in conversations()]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, segment string").repartition(3)
     made = chat.format_conversations(df, BYTE_BPE)
-    assert made.where("conv_id = 3").count() > 1  # goes on in further segments
+    whole = {r.conv_id: r for r in made.collect()}
+    assert made.count() == 6  # a row for each conversation
     want = set()
     by = defaultdict(list)
     for c, t, role, text, _ in data:
@@ -46,6 +47,14 @@ def test_chat(spark):
         assert len(r.ids) == len(r.loss_mask) and any(r.loss_mask)
         spans = [r.formatted[s.start : s.end] for s in r.loss_spans]
         assert all(s in tok.decode([i for i, m in zip(r.ids, r.loss_mask) if m]) for s in spans)
+    monkeypatch.setattr(chat, "SEGMENT", 100_000)
+    cut = chat.format_conversations(df, BYTE_BPE)
+    parts = sorted(cut.where("conv_id = 3").collect(), key=lambda r: r.segment)
+    one = whole[3]
+    assert len(parts) > 3 and "".join(p.formatted for p in parts) == one.formatted
+    assert [i for p in parts for i in p.ids] == one.ids and [m for p in parts for m in p.loss_mask] == one.loss_mask
+    assert [s for p in parts for s in p.loss_spans] == one.loss_spans
+    assert {tuple(r) for r in chat.read_back(cut).collect()} == {tuple(r) for r in got}
     assert made.limit(0).count() == 0 and chat.format_conversations(df.limit(0), BYTE_BPE).count() == 0
 
 
@@ -82,27 +91,67 @@ def test_interactions_are_learned():
 
 def test_toxicity_edges(spark):
     docs = documents(spark)
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    got = toxicity.score(docs, none).collect()
-    assert len(got) == docs.count() and {r.predicted for r in got} <= {0, 1} and all(0 <= r.score <= 1 for r in got)
-    labels = spark.createDataFrame([(r[0], int(r[0] % 2)) for r in rows() if r[0] is not None] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    for none in ([], [(3, None), (4, 7), (None, 1)], [(i, 1) for i in range(50)]):
+        labels = spark.createDataFrame(none, "doc_id long, toxic int")
+        got = toxicity.score(docs, labels).collect()
+        assert len(got) == docs.count() and {r.predicted for r in got} == {0}
+        assert toxicity.drop_toxic(docs, labels).count() == docs.count()
+    labels = spark.createDataFrame([(r[0], int(r[0] % 2)) for r in rows() if r[0] is not None] + [(None, 1), (3, None), (4, -1), (5, 9)], "doc_id long, toxic int")
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and toxicity.score(documents(spark, []), labels).count() == 0
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, labels).collect())
+
+
+def test_score_is_the_sum_over_pairs():
+    """The machine's score by its definition: every pair of terms on its own."""
+    r = np.random.default_rng(5)
+    fm = toxicity.FactorizationMachine(list(range(30)), -0.3)
+    fm.w, fm.v = r.normal(0, 0.5, 30), r.normal(0, 0.4, fm.v.shape)
+    data = [sorted(r.choice(30, n, replace=False).tolist()) for n in (0, 1, 2, 5, 12)]
+    for got, t in zip(fm.scores(data), data):
+        z = fm.w0 + sum(fm.w[i] for i in t) + sum(float(fm.v[i] @ fm.v[j]) for a, i in enumerate(t) for j in t[:a])
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_pairs_that_tell_only_together_are_kept(spark):
+    """Two words, each as frequent in clean rows as in toxic ones, and toxic only together: through fit() and score()."""
+    import random
+
+    r = random.Random(6)
+    data, labels = [], []
+    for i in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        w = [f"filler{r.randrange(300)}" for _ in range(8)] + ["alpha"] * a + ["omega"] * b
+        r.shuffle(w)
+        data.append((i, " ".join(w)))
+        labels.append((i, int(a == b)))  # the exclusive or: neither word tells anything alone
+    docs, marks = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, marks).join(marks, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.95
+
+
+def test_sample_of_huge_tables_is_not_empty(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: seen.append(df.count()) or df)
+    toxicity.fit(docs, labels, sample=100)
+    assert 50 < seen[0] < 150
 
 
 def brute(vectors, k):
-    q = {}
+    q = {}  # by id the smallest vector, and its row
     x = {}
     for i, (d, v) in enumerate(vectors):
         if d is None or v is None or any(c is None or not np.isfinite(c) for c in v):
             continue
         x[i] = (d, [int(np.floor(1024 * float(c))) for c in v])
         if d % 100 == 0:
-            q[d] = min(q.get(d, list(v)), list(v))
+            q[d] = min(q.get(d, (list(v), i)), (list(v), i))
     out = set()
-    for d, v in q.items():
+    for d, (v, own) in q.items():
         v = [int(np.floor(1024 * float(c))) for c in v]
-        s = sorted((-sum(a * b for a, b in zip(v, w)), e) for e, w in x.values() if e != d)
+        s = sorted((-sum(a * b for a, b in zip(v, w)), e) for i, (e, w) in x.items() if i != own)
         out |= {(d, n, e, -m) for n, (m, e) in enumerate(s[:k], 1)}
     return out
 
@@ -124,12 +173,15 @@ def test_index_stops_early():
     r = np.random.default_rng(1)
     x = topk.quantised((r.normal(0, 0.1, (5000, 64)) + r.normal(0, 0.1, (5000, 1)) * np.linspace(-1, 1, 64)).tolist())
     index = topk.Index(np.arange(5000), x)
+    read, rescored = [], []
     for i in range(0, 5000, 250):
-        s, at = index.search(i, x[i], 10)
+        s, at = index.search(x[i], 10)
         every = x @ x[i]
-        every[i] = -(1 << 62)
+        read.append(index.read / x.size)
+        rescored.append(index.rescored / len(x))
         want = np.lexsort((np.arange(5000), -every))[:10]
         assert at.tolist() == want.tolist() and s.tolist() == every[want].tolist()
+    assert np.mean(read) < 0.6 and np.mean(rescored) < 0.6
 
 
 def test_pipeline_stages(spark, tmp_path):
