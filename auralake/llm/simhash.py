@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, groups, maybe_in, membership, stage, texts, tune, wide
+from .common import UnionFind, buckets_for, components, groups, maybe_in, membership, stage, texts, tune, wide
 
 SEED = 42
 #: Members of a shard above which it is cut again by the bits that its members don't share.
@@ -333,23 +333,72 @@ def prefix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return h[first[: n - (4 * n + 4) // 5 + 1]] if n else h
 
 
+#: What a bucket holds of each prefix: a shingle (the bits beyond the bucket's), its node, the node's component, the
+#: size of its set and the shingle's place in its order. Shingles alike in these bits are false proposals, no more.
+KEY = np.dtype([("key", "<u4"), ("node", "<i8"), ("comp", "<i8"), ("size", "<u4"), ("pos", "<u4")])
+
+
+def _spread(buckets: int):
+    """The shingles of prefixes (node, comp, size, keys), packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        where: list[np.ndarray] = []
+        n = 0
+
+        def deal() -> pa.RecordBatch:
+            r, b = np.concatenate(held), np.concatenate(where)
+            o = np.argsort(b, kind="stable")
+            r, cuts = r[o], np.searchsorted(b[o], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "data": pa.array([r[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())})
+
+        for b in batches:
+            blobs = b.column("keys").to_pylist()
+            h = np.frombuffer(b"".join(blobs), "<u8")
+            sizes = np.array([len(x) // 8 for x in blobs], np.int64)
+            r = np.empty(len(h), KEY)
+            r["key"] = h.astype(np.uint32)
+            for c in ("node", "comp", "size"):
+                r[c] = np.repeat(b.column(c).to_numpy(), sizes)
+            r["pos"] = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            held.append(r)
+            where.append(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+            n += len(h)
+            if n >= 200_000:
+                yield deal()
+                held, where, n = [], [], 0
+        if n:
+            yield deal()
+
+    return run
+
+
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes that share a shingle of their prefixes and may be similar by size and by place of the first such shingle,
-    as groups to be verified; nodes of one component needn't be."""
+    """Nodes of different components that share a shingle of their prefixes and may be similar by size and by place of
+    the first such shingle, as groups to be verified. Input sorted by bucket."""
     out = Proposals(pairs=True)
-    for _, t in groups(batches, "key"):
-        node, comp, size, pos = (t[c].to_numpy() for c in ("node", "comp", "size", "pos"))
-        uf = UnionFind()
-        ends = np.searchsorted(4 * size, 5 * size, "right")
-        rest = size - pos  # what can be shared from this shingle on
-        for i, end in enumerate(ends.tolist()):
-            j = slice(i + 1, end)
-            ok = (comp[j] != comp[i]) & (9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j]))
-            for k in np.flatnonzero(ok).tolist():
-                uf.union(int(node[i]), int(node[i + 1 + k]))
-        out.add(uf)
-        if len(out.grp) >= 5000:
-            yield out.flush()
+    for _, t in groups(batches, "bucket"):
+        r = np.frombuffer(b"".join(t["data"].to_pylist()), KEY)
+        r = r[np.lexsort((r["node"], r["size"], r["key"]))]
+        starts = np.concatenate([[0], np.flatnonzero(r["key"][1:] != r["key"][:-1]) + 1])
+        several = np.minimum.reduceat(r["comp"], starts) < np.maximum.reduceat(r["comp"], starts)
+        ends = np.concatenate([starts[1:], [len(r)]])
+        for a, z in zip(starts[several].tolist(), ends[several].tolist()):
+            node, comp, size, pos = (r[c][a:z].astype(np.int64) for c in ("node", "comp", "size", "pos"))
+            values, inverse, n = np.unique(comp, return_inverse=True, return_counts=True)
+            rest = size - pos  # what can be shared from this shingle on
+            uf = UnionFind()
+            # Pairs within the most frequent component need no look, so that the others are compared with all.
+            for i in np.flatnonzero(inverse != np.argmax(n)).tolist():
+                lo, hi = np.searchsorted(5 * size, 4 * size[i]), np.searchsorted(4 * size, 5 * size[i], "right")
+                j = slice(lo, hi)
+                ok = (comp[j] != comp[i]) & (9 * np.minimum(rest[i], rest[j]) >= 4 * (size[i] + size[j]))
+                for k in np.flatnonzero(ok).tolist():
+                    uf.union(int(node[i]), int(node[lo + k]))
+            out.add(uf)
+            if len(out.grp) >= 5000:
+                yield out.flush()
     yield out.flush()
 
 
@@ -385,17 +434,17 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
             h = [shingle_set(t, words) for t in texts(b)]
             fp = np.array([fingerprint(x) for x in h], np.uint64).view(np.int64)
             sig = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
-            keys = [prefix(x, level).view(np.int64) for x in h]
+            keys = [prefix(x, level).astype("<u8").tobytes() for x in h]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "fp": pa.array(fp), "sig": pa.array(sig),
-                "size": pa.array(list(map(len, h)), pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())),
+                "size": pa.array(list(map(len, h)), pa.int64()), "keys": pa.array(keys, pa.binary()),
             })
 
-    marked = stage(own.mapInArrow(mark, "doc_id long, text_hash long, fp long, sig long, size long, keys array<long>"), "marked")
+    marked = stage(own.mapInArrow(mark, "doc_id long, text_hash long, fp long, sig long, size long, keys binary"), "marked")
     #: Of the rows of a node the first one stands for it: its text is fetched where the node is to be verified.
     first = F.min(F.struct("doc_id", "text_hash", "fp")).alias("m")
     nodes = stage(marked.groupBy("sig").agg(first).select(F.col("sig").alias("node"), F.col("m.fp").alias("fp"), F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash")), "nodes")
-    n = wide(docs)
+    n, buckets = wide(docs), buckets_for(docs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -413,12 +462,10 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
     comp = components(verified(met))
 
     known = nodes.join(comp, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("comp"))
-    firsts = marked.select("doc_id", "text_hash", F.col("sig").alias("node"), "size", "keys").join(known, ["node", "doc_id", "text_hash"])
-    lists = stage(firsts.select("node", "comp", "size", "keys").where("size > 0"), "prefixes")
-    held = lists.select("node", "comp", "size", F.posexplode("keys").alias("pos", "key"))
-    several = stage(held.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key"), "keys")
-    open_ = maybe_in(held, "key", membership(several, "key")).join(several, "key", "left_semi").select("key", "node", "comp", "size", F.col("pos").cast("long").alias("pos"))
-    met = stage(open_.repartition(n, "key").sortWithinPartitions("key", "size", "node").mapInArrow(_meetings, "grp long, node long").distinct(), "meetings")
+    firsts = marked.where("size > 0").select("doc_id", "text_hash", F.col("sig").alias("node"), "size", "keys").join(known, ["node", "doc_id", "text_hash"])
+    spread = firsts.select("node", "comp", "size", "keys").mapInArrow(_spread(buckets), "bucket int, data binary")
+    dealt = spread.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    met = stage(dealt.mapInArrow(_meetings, "grp long, node long").distinct(), "meetings")
     if not met.isEmpty():
         more = verified(met)
         comp = components(more.unionByName(comp.select(F.col("node").alias("u"), F.col("root").alias("v"))))
