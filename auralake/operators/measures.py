@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions import levels
+from auralake.operators.report import nearest_ranks
 
 
 def nearest_rank(values: Column, fraction: float) -> Column:
@@ -14,13 +15,13 @@ def nearest_rank(values: Column, fraction: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(values, at))
 
 
-def sub_blocks(samples: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
+def sub_blocks(samples: DataFrame, keys: list[str], weight: Column) -> DataFrame:
     """Weighted energy of each sub-block on a grid without holes, up to each programme's last.
 
-    samples: keys, channel, sub, x. weights: channel, weight (a dimension of one row for each channel label).
+    samples: keys, channel, sub, x. weight: of a channel, an expression on it; 0 or null excludes a channel.
     """
     each = samples.groupBy(*keys, "channel", "sub").agg((F.sum(F.col("x") * F.col("x")) / F.count("*")).alias("ms"))
-    e = each.join(F.broadcast(weights), "channel").groupBy(*keys, "sub").agg(F.sum(F.col("weight") * F.col("ms")).alias("e"))
+    e = each.groupBy(*keys, "sub").agg(F.sum(weight * F.col("ms")).alias("e"))
     ends = samples.groupBy(*keys).agg(F.min("sub").alias("lo"), F.max("sub").alias("hi"))
     grid = ends.select(*keys, F.explode(F.sequence("lo", "hi")).alias("sub"))
     return grid.join(e, [*keys, "sub"], "left").fillna(0.0, ["e"])
@@ -41,8 +42,27 @@ def gated(blocks: DataFrame, keys: list[str], gate: float) -> DataFrame:
 
 
 def integrated(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    kept = gated(blocks, keys, levels.RELATIVE_GATE)
-    return kept.groupBy(*keys).agg(F.count("*").alias("blocks"), levels.loudness(F.avg("mean")).alias("lufs"))
+    """By programme the number of blocks over both gates and their loudness; minus infinity where there is none."""
+    kept = gated(blocks, keys, levels.RELATIVE_GATE).groupBy(*keys).agg(F.count("*").alias("blocks"), levels.loudness(F.avg("mean")).alias("lufs"))
+    every = blocks.select(*keys).distinct()
+    return every.join(kept, keys, "left").select(*keys, F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("lufs", F.lit(float("-inf"))).alias("lufs"))
+
+
+def loudness_range(kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread of the short-term loudness of gated blocks: nearest-rank 95 % less 10 %, never under 0."""
+    r = nearest_ranks(kept.withColumn("_l", levels.loudness(F.col("mean"))), keys, "_l", {"high": 0.95, "low": 0.1})
+    return r.select(*keys, F.greatest(F.lit(0.0), F.col("high") - F.col("low")).alias("lra"))
+
+
+# Labels that take no part in loudness, labels behind or beside the listener, and their weight.
+EXCLUDED = ["LFE", "LFE1", "LFE2", "LFEL", "LFER"]
+SURROUND = ["M+090", "M-090", "M+110", "M-110", "M+135", "M-135"]
+SURROUND_WEIGHT = 1.41
+
+
+def channel_weight(label: Column) -> Column:
+    """Weight of a speaker label in loudness; labels that aren't known weigh 1."""
+    return F.when(label.isin(*EXCLUDED), 0.0).when(label.isin(*SURROUND), SURROUND_WEIGHT).otherwise(1.0)
 
 
 def histogram_slope(df: DataFrame, level: Column, gain: Column, width: float, least: int, keys: list[str]) -> DataFrame:

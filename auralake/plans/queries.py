@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from auralake.functions import levels as L
 from auralake.operators import measures as M
+from auralake.operators import metric as X
+from auralake.operators import report as R
 from auralake.operators import timelines as T
 
 PROGRAMMES = 16
@@ -54,14 +56,15 @@ GATED = """a AS (SELECT * FROM w{n} WHERE """ + LOUD.format("mean") + """ > -70)
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _events(spark, sf_dir).select("programme", F.col("event_type").alias("channel"), F.floor(F.col("us") / 60_000_000).alias("sub"), (F.col("value") / 500).alias("x"))
-    labels = s.select("channel").distinct()
     weight = F.when(F.col("channel") == "error", 0.0).when(F.col("channel") == "view", 1.41).otherwise(1.0)
-    return M.sub_blocks(s, ["programme"], labels.withColumn("weight", weight))
+    return M.sub_blocks(s, ["programme"], weight)
 
 
-@query(f"WITH {BLOCKS}, {SLIDING.format(n=4, p=3)}, {GATED.format(n=4, gate=-10)} SELECT programme, count(*) AS blocks, round({LOUD.format('avg(mean)')}, 5) AS lufs FROM k GROUP BY programme")
+@query(f"WITH {BLOCKS}, {SLIDING.format(n=4, p=3)}, {GATED.format(n=4, gate=-10)} SELECT p.programme, count(k.sub) AS blocks, coalesce(round({LOUD.format('avg(mean)')}, 5), '-inf'::DOUBLE) AS lufs FROM (SELECT DISTINCT programme FROM w4 UNION SELECT -1) p LEFT JOIN k USING (programme) GROUP BY 1")
 def integrated_loudness(spark, sf_dir):
-    return M.integrated(M.sliding(_blocks(spark, sf_dir), ["programme"], 4), ["programme"]).withColumn("lufs", _r(F.col("lufs")))
+    b = M.sliding(_blocks(spark, sf_dir), ["programme"], 4)
+    silent = b.limit(0).unionByName(spark.range(40).select(F.lit(-1).cast(dict(b.dtypes)["programme"]).alias("programme"), F.col("id").alias("sub"), F.lit(0.0).alias("e"), F.lit(0.0).alias("mean")))
+    return M.integrated(b.unionByName(silent), ["programme"]).withColumn("lufs", _r(F.col("lufs")))
 
 
 @query(f"""WITH {BLOCKS}, {SLIDING.format(n=4, p=3)}, {SLIDING.format(n=30, p=29)}
@@ -76,8 +79,7 @@ def momentary_short_term(spark, sf_dir):
     SELECT programme, round(v[CAST(round((len(v) - 1) * 0.95) AS INT) + 1] - v[CAST(round((len(v) - 1) * 0.1) AS INT) + 1], 5) AS lra FROM l""")
 def loudness_range(spark, sf_dir):
     k = M.gated(M.sliding(_blocks(spark, sf_dir), ["programme"], 30), ["programme"], L.RANGE_GATE)
-    v = k.groupBy("programme").agg(F.sort_array(F.collect_list(L.loudness(F.col("mean")))).alias("v"))
-    return v.select("programme", _r(M.nearest_rank(F.col("v"), 0.95) - M.nearest_rank(F.col("v"), 0.1)).alias("lra"))
+    return M.loudness_range(k, ["programme"]).withColumn("lra", _r(F.col("lra")))
 
 
 @query(f"""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS gain
@@ -136,13 +138,10 @@ def hold_smoothing(spark, sf_dir):
     return e.withColumn("held", T.held(e, ["user_id"], ["us", "event_id"], "value", 3, 2)).select("event_id", "held")
 
 
-@query("""SELECT l_suppkey, count(*) AS words, min(l_quantity) AS low, max(l_quantity) AS high, count(DISTINCT l_quantity) AS gains, CAST(sum(CASE WHEN was <> l_quantity THEN 1 ELSE 0 END) AS BIGINT) AS changes
-    FROM (SELECT *, lag(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS was FROM lineitem) GROUP BY l_suppkey""")
+@query("""SELECT l_suppkey, count(*) AS words, min(l_quantity) AS low, max(l_quantity) AS high, count(DISTINCT l_quantity) AS gains, CAST(sum(CASE WHEN was <> l_quantity THEN 1 ELSE 0 END) AS BIGINT) AS changes, min(l_orderkey - prev) AS cadence
+    FROM (SELECT *, lag(l_quantity) OVER w AS was, lag(l_orderkey) OVER w AS prev FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity)) GROUP BY l_suppkey""")
 def drc_word_profile(spark, sf_dir):
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    li = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", F.lag("l_quantity").over(w).alias("was"))
-    q = F.col("l_quantity")
-    return li.groupBy("l_suppkey").agg(F.count("*").alias("words"), F.min(q).alias("low"), F.max(q).alias("high"), F.count_distinct(q).alias("gains"), F.count_if(F.col("was") != q).alias("changes"))
+    return R.word_profile(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "l_quantity", "l_orderkey")
 
 
 @query("""WITH b AS (SELECT l_returnflag, floor(l_quantity / 3) * 3 AS bin, count(*) AS n, avg(l_discount) AS gain FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 8)
@@ -155,10 +154,9 @@ def level_histogram_slope(spark, sf_dir):
 @query("""SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
     round(avg(l_discount - l_tax), 6) AS bias, round(sqrt(avg((l_discount - l_tax) ** 2)), 6) AS rms, round(10 * log10(sum(l_discount ** 2) / sum((l_discount - l_tax) ** 2)), 5) AS snr FROM lineitem GROUP BY l_returnflag""")
 def corr_regression(spark, sf_dir):
-    e = F.col("l_discount") - F.col("l_tax")
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        _r(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), _r(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), _r(F.avg(e), 6).alias("bias"),
-        _r(F.sqrt(F.avg(e * e)), 6).alias("rms"), _r(10 * F.log10(F.sum(F.col("l_discount") * F.col("l_discount")) / F.sum(e * e))).alias("snr"))
+    li, e, k = _table(spark, sf_dir, "lineitem"), F.col("l_discount") - F.col("l_tax"), ["l_returnflag"]
+    r = R.regression(li, k, "l_quantity", "l_extendedprice").join(R.bias_rms(li, k, e), k).join(R.snr(li, k, F.col("l_discount"), e), k)
+    return r.select(*k, _r(F.col("r"), 6).alias("r"), _r(F.col("slope"), 4).alias("slope"), _r(F.col("bias"), 6).alias("bias"), _r(F.col("rms"), 6).alias("rms"), _r(F.col("snr")).alias("snr"))
 
 
 _HOURS = "(SELECT programme, CAST(floor(us / 3600000000) AS BIGINT) AS hour, avg(value) AS value FROM {e} WHERE event_type {is_} 'view' GROUP BY ALL)"
@@ -194,7 +192,7 @@ def positions(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey) AS loudest FROM lineitem) WHERE l_quantity > 10 AND l_quantity > loudest * 0.5""")
 def audibility_filter(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return li.withColumn("m", F.max("l_quantity").over(Window.partitionBy("l_orderkey"))).where("l_quantity > 10 and l_quantity > m * 0.5").select("l_orderkey", "l_linenumber")
+    return X.audible_only(li, ["l_orderkey"], "l_quantity", 10.0, 0.5).select("l_orderkey", "l_linenumber")
 
 
 @query("""SELECT l_orderkey, max_by(l_linenumber, [l_extendedprice, l_linenumber]) AS worst, CAST(sum(round(l_quantity * l_discount * 100)) AS BIGINT) AS weighted, sum(l_quantity) AS weight, CAST(sum(CASE WHEN l_discount = 0 THEN 1 ELSE 0 END) AS BIGINT) AS silent FROM lineitem GROUP BY l_orderkey""")
@@ -205,34 +203,31 @@ def metric_layer_report(spark, sf_dir):
 
 @query("""SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority), ())""")
 def survey_grouping_sets(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders")
-    s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
-    g = o.groupingSets([[s], [p], [s, p], []], s, p).agg(F.grouping_id("o_orderstatus", "o_orderpriority").alias("level"), F.count("*").alias("n"), _r(F.sum("o_totalprice"), 2).alias("total"))
-    return g.select(s.alias("status"), p.alias("priority"), "level", "n", "total")
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_totalprice")
+    return R.histograms(o, [["status"], ["priority"], ["status", "priority"], []], [_r(F.sum("o_totalprice"), 2).alias("total")]).select("status", "priority", "level", "n", "total")
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def missing_components_anti(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
+    return R.absent(_table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), {"c_custkey": "o_custkey"}).select("c_custkey", "c_nationkey")
 
 
 @query("""SELECT s_suppkey, n_name, CAST(row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal DESC, s_suppkey) AS INT) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def score_ranking(spark, sf_dir):
-    s = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select("s_suppkey", "n_name", F.row_number().over(Window.partitionBy("n_name").orderBy(F.col("s_acctbal").desc(), "s_suppkey")).alias("place"))
+    key = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return R.ranked(_table(spark, sf_dir, "supplier"), key, "s_nationkey", ["n_name"], "s_acctbal", ["s_suppkey"]).select("s_suppkey", "n_name", "place")
 
 
 @query("""SELECT CASE WHEN l.toxic IS NULL THEN 'failed' WHEN d.n_chars = length(d.text) THEN 'identical' WHEN lower(trim(d.text)) = lower(d.text) THEN 'equivalent' ELSE 'mismatched' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
 def roundtrip_tally(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    status = F.when(F.col("toxic").isNull(), "failed").when(F.col("n_chars") == F.length("text"), "identical").when(F.lower(F.trim("text")) == F.lower("text"), "equivalent").otherwise("mismatched")
-    return d.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return R.tally(d, R.round_trip_status(F.col("toxic").isNotNull(), F.col("n_chars") == F.length("text"), F.lower(F.trim("text")) == F.lower("text")))
 
 
-@query("""SELECT l_orderkey, l_partkey, round(avg(l_quantity * l_quantity) * max(l_discount) ** 2, 6) AS energy, max(abs(l_quantity)) AS peak FROM lineitem GROUP BY l_orderkey, l_partkey""")
+@query("""SELECT l_orderkey, l_partkey, round(avg(l_quantity * l_quantity) * max(l_discount) ** 2, 6) AS energy, round(max(abs(l_quantity)) * max(l_discount), 6) AS peak FROM lineitem GROUP BY l_orderkey, l_partkey""")
 def scene_energy(spark, sf_dir):
-    q = F.col("l_quantity")
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(_r(F.avg(q * q) * F.pow(F.max("l_discount"), F.lit(2)), 6).alias("energy"), F.max(F.abs(q)).alias("peak"))
+    e = R.scene_energy(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"], "l_quantity", F.col("l_discount"))
+    return e.select("l_orderkey", "l_partkey", _r(F.col("energy"), 6).alias("energy"), _r(F.col("peak"), 6).alias("peak"))
 
 
 _RES = "(SELECT l_suppkey, CAST(l_quantity AS BIGINT) - 25 AS r FROM lineitem)"
@@ -266,7 +261,9 @@ def nearest_centre_capture(spark, sf_dir):
     return e.join(m, ["label", "i"]).groupBy("vec_id").agg(_r(F.sum(F.col("x") * F.col("m"))).alias("capture"))
 
 
-@query("SELECT event_type AS mode, min(event_id) AS first_seen, count(*) AS n, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS flag_rate FROM events GROUP BY 1")
+@query("""SELECT programme, mode, first_seen, n, CAST(row_number() OVER (PARTITION BY programme ORDER BY first_seen) - 1 AS INT) AS class, flag_rate
+    FROM (SELECT user_id % 16 AS programme, event_type AS mode, min(event_id) AS first_seen, count(*) AS n, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS flag_rate FROM events GROUP BY 1, 2)""")
 def class_counts(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("mode")).agg(F.min("event_id").alias("first_seen"), F.count("*").alias("n"), F.avg((F.col("value") > 50).cast("double")).alias("flag_rate"))
+    e = _table(spark, sf_dir, "events").withColumn("programme", F.pmod("user_id", F.lit(PROGRAMMES)))
+    m = R.modes(e, ["programme"], ["event_type"], "event_id").join(R.flag_rate(e, ["programme", "event_type"], F.col("value") > 50), ["programme", "event_type"])
+    return m.select("programme", F.col("event_type").alias("mode"), "first_seen", "n", "class", F.col("rate").alias("flag_rate"))
\ No newline at end of file
