@@ -35,15 +35,76 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def sparse_fit(a: np.ndarray, b: np.ndarray, paths: int) -> np.ndarray:
-    """Non-negative weights, at most paths of them, that keep the length of b: solve, keep the strongest, solve again."""
-    x = nnls(a, b)
-    if np.count_nonzero(x) > paths:
-        keep = np.sort(np.argsort(-x * np.linalg.norm(a, axis=0), kind="stable")[:paths])
-        x = np.zeros_like(x)
-        x[keep] = nnls(a[:, keep], b)
+def capped(a: np.ndarray, b: np.ndarray, paths: int, allowed: np.ndarray | None = None) -> np.ndarray:
+    """nnls() with at most `paths` active at any time: once as many are, the steepest of the others comes in for the one
+    whose loss is least, as long as that lowers the residual. Not the strongest of a free solution, which is another
+    and a worse one."""
+    n = a.shape[1]
+    may = np.ones(n, bool) if allowed is None else np.asarray(allowed, bool)
+    active: list[int] = []
+    x = np.zeros(n)
+
+    def solved(some: list[int]) -> tuple[np.ndarray, float]:
+        out = np.zeros(n)
+        if some:
+            out[some] = nnls(a[:, some], b)
+        return out, float(np.linalg.norm(a @ out - b))
+
+    residual = float(np.linalg.norm(b))
+    for _ in range(4 * n + 4):
+        slope = a.T @ (b - a @ x)
+        slope[~may] = -np.inf
+        slope[active] = -np.inf
+        at = int(slope.argmax()) if n else 0
+        if not n or slope[at] <= 1e-12 * max(1.0, float(np.abs(b).max(initial=0.0))):
+            break
+        if len(active) < paths:
+            tries = [[*active, at]]
+        else:
+            tries = [[*(c for c in active if c != out), at] for out in active]
+        best = min(((*solved(t), t) for t in tries), key=lambda r: r[1])
+        if best[1] >= residual - 1e-12:
+            break
+        x, residual = best[0], best[1]
+        active = [c for c in best[2] if x[c] > 0]
+    return x
+
+
+#: How much larger the residual of the set that a block had before may be, to keep it.
+HELD = 1.5
+
+
+def sparse_fit(a: np.ndarray, b: np.ndarray, paths: int = 3, held: np.ndarray | None = None, allowed: np.ndarray | None = None, bounds: np.ndarray | None = None) -> np.ndarray:
+    """Non-negative weights, at most `paths` of them, that keep the length of b.
+
+    held: the weights before; their set is kept where a solution confined to it has a residual of at most HELD times the
+    free one's. allowed: which columns may be used. bounds: upper bounds; weights over theirs are pinned there and the
+    others solved again. The final scaling to the length of b stays under the bounds.
+    """
+    n = a.shape[1]
+    x = capped(a, b, paths, allowed)
+    if held is not None and len(held) == n:
+        before = np.flatnonzero((np.asarray(held) > 0) & (np.ones(n, bool) if allowed is None else np.asarray(allowed, bool)))
+        if len(before) and set(before) != set(np.flatnonzero(x > 0)):
+            kept = np.zeros(n)
+            kept[before] = nnls(a[:, before], b)
+            if np.linalg.norm(a @ kept - b) <= HELD * np.linalg.norm(a @ x - b) + 1e-15:
+                x = kept
+    if bounds is not None:
+        pinned = np.zeros(n, bool)
+        while (over := (x > bounds + 1e-12) & ~pinned).any():
+            pinned |= over
+            rest = np.flatnonzero((x > 0) & ~pinned)
+            x = np.where(pinned, bounds, 0.0)
+            if len(rest):
+                x[rest] = nnls(a[:, rest], b - a[:, pinned] @ bounds[pinned])
     radiated = float(np.linalg.norm(a @ x))
-    return x * (float(np.linalg.norm(b)) / radiated) if radiated > 1e-12 else x
+    if radiated <= 1e-12:
+        return x
+    scale = float(np.linalg.norm(b)) / radiated
+    if bounds is not None and (x > 0).any():
+        scale = min(scale, max(1.0, float(np.min(bounds[x > 0] / x[x > 0]))))
+    return x * scale
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -162,3 +223,96 @@ def seed_blocks(df: DataFrame, key: str, index: str, direction: str, energy: str
 
     types = dict(df.dtypes)
     return by_block(df.select(key, index, direction, energy), [key], f"{key} {types[key]}, place int, {index} {types[index]}", solve)
+
+
+def capture(energies: np.ndarray, targets: np.ndarray, limit: int) -> list[int]:
+    """Members that serve the others best, chosen greedily: the gain of a candidate is the energy of each member times
+    how much nearer than any seed so far it is, by the cosine of the gain vectors; the first of equal ones. Ends where
+    a seed would bring no more than 1e-9 of the energy."""
+    n = np.linalg.norm(targets, axis=1)
+    lengths = np.outer(n, n)
+    kernel = np.where(lengths > 1e-12, np.clip(targets @ targets.T / np.maximum(lengths, 1e-300), 0, 1), 0.0)
+    np.fill_diagonal(kernel, 1.0)
+    served, chosen = np.zeros(len(energies)), []
+    free = np.ones(len(energies), bool)
+    while len(chosen) < min(limit, len(energies)):
+        gains = np.where(free, np.maximum(kernel - served, 0.0) @ energies, -np.inf)
+        at = int(gains.argmax())
+        if not gains[at] > 1e-9 * energies.sum():
+            break
+        free[at] = False
+        chosen.append(at)
+        served = np.maximum(served, kernel[at])
+    return chosen
+
+
+def capture_blocks(df: DataFrame, key: str, index: str, target: str, energy: str, limit: int) -> DataFrame:
+    """(key, place, index): capture() of each block. Rows with null parts can't be seeds."""
+
+    def solve(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.dropna().sort_values(index)
+        at = capture(np.maximum(block[energy].to_numpy(float), 0), np.stack([np.asarray(t, float) for t in block[target]]), limit) if len(block) else []
+        chosen = block.iloc[at]
+        return pd.DataFrame({key: chosen[key], "place": np.arange(len(at), dtype=np.int32), index: chosen[index]})
+
+    types = dict(df.dtypes)
+    return by_block(df.select(key, index, target, energy), [key], f"{key} {types[key]}, place int, {index} {types[index]}", solve)
+
+
+def allocate(curves: list[np.ndarray], present: list[bool], elements: int, previous: list[int] | None = None, worth: float = 0.05) -> list[int] | None:
+    """Elements of each class. curves: of each class the cost with 0, 1, 2 ... elements, falling. A class that is present
+    has one at least; the rest go one by one where they save most, the first of equal ones; elements beyond what any
+    class can use go to the first present class. A previous share is kept, and an element moves only where the taker
+    saves more by a share of worth than the giver loses. None if there are more classes than elements."""
+    if sum(present) > elements:
+        return None
+    if not any(present):
+        return [elements, *[0] * (len(curves) - 1)] if curves else []
+    held = previous is not None and len(previous) == len(curves) and sum(previous) == elements and all(n > 0 for n, p in zip(previous, present) if p)
+    most = [max(len(c) - 1, 1) if p else 0 for c, p in zip(curves, present)]
+    share = [min(n, m) for n, m in zip(previous if held else map(int, present), most)]
+
+    def saving(c: int, n: int) -> float:
+        return float(curves[c][n] - curves[c][n + 1]) if n + 1 < len(curves[c]) else 0.0
+
+    def taker() -> int | None:
+        able = [c for c in range(len(curves)) if present[c] and share[c] < most[c]]
+        return max(able, key=lambda c: (saving(c, share[c]), -c), default=None)
+
+    for left in range(elements - sum(share), 0, -1):
+        to = taker()
+        if to is None:
+            share[present.index(True)] += left
+            break
+        share[to] += 1
+    if held:
+        for _ in range(elements):
+            to = taker()
+            givers = [c for c in range(len(curves)) if present[c] and share[c] > 1]
+            if to is None or not givers:
+                break
+            by = min(givers, key=lambda c: (saving(c, share[c] - 1), c))
+            if to == by or saving(to, share[to]) <= saving(by, share[by] - 1) * (1 + worth):
+                break
+            share[by] -= 1
+            share[to] += 1
+    return share
+
+
+#: Cost of renumbering: of a degree between directions, and of a change of class.
+DEGREE, CLASS_CHANGE = 1e-3, 4.0
+
+
+def renumber(before: np.ndarray, after: np.ndarray, directions_before: np.ndarray, directions_after: np.ndarray, class_before: np.ndarray | None = None, class_after: np.ndarray | None = None) -> np.ndarray:
+    """New number of each element of a block, so that elements go on as what they were: the cheapest assignment by 1 -
+    cosine of the columns of weights, the angle between directions, and a change of class."""
+    def unit(m: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(m, axis=0, keepdims=True)
+        return np.where(n > 1e-12, m / np.maximum(n, 1e-300), 0.0)
+
+    same = unit(after).T @ unit(before)
+    angle = np.degrees(np.arccos(np.clip(directions_after @ directions_before.T, -1, 1)))
+    cost = 1 - same + DEGREE * angle
+    if class_before is not None and class_after is not None:
+        cost = cost + CLASS_CHANGE * (np.asarray(class_after)[:, None] != np.asarray(class_before)[None, :])
+    return assign(cost)

@@ -105,3 +105,58 @@ def beds(frames: DataFrame, key: str, place: list[Column], speakers: list[tuple[
     at = F.array(*[F.col(f"low.p{i}") for i in range(len(place))])
     known = F.array(*[F.array(*[F.lit(v) for v in s]) for s in speakers])
     return g.where(F.col("low") == F.col("high")).where(F.array_contains(known, at)).select(key, at.alias("place"))
+
+
+def look_ahead_mean(value: str, keys: list[str], order: list[str], behind: int, ahead: int) -> Column:
+    """Mean over a window of blocks behind and ahead, clipped to those that exist."""
+    return F.avg(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-behind, ahead))
+
+
+def anticipating(value: str, keys: list[str], order: list[str], arriving: float = 2.0) -> Column:
+    """A block's value, or the next block's where that is `arriving` times as large or more."""
+    ahead = F.coalesce(F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0.0))
+    return F.when(ahead >= F.col(value) * arriving, ahead).otherwise(F.col(value))
+
+
+def motion_close(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over the windows of motion_windows(): their number, of those that moved (net way over the blur) and wobbled
+    (half the wobble over it), carried share in all and in wobbling ones, wobble and net way weighted by it, and by how
+    much the wobble went over at worst and in all."""
+    over = F.col("wobble") / 2 - F.col("blur")
+    wobbled = over > 0
+    return windows.groupBy(*keys).agg(
+        F.count("*").alias("windows"), F.count_if(F.col("net") > F.col("blur")).alias("moved"), F.count_if(wobbled).alias("wobbled"), F.sum("carried").alias("share"),
+        F.sum(F.col("carried") * F.col("wobble")).alias("weighted_wobble"), F.sum(F.col("carried") * F.col("net")).alias("weighted_net"),
+        F.coalesce(F.sum(F.when(wobbled, F.col("carried"))), F.lit(0.0)).alias("wobbling_share"), F.coalesce(F.sum(F.when(wobbled, over)), F.lit(0.0)).alias("over"),
+        F.coalesce(F.max(F.when(wobbled, over)), F.lit(0.0)).alias("worst"),
+    )
+
+
+#: Fixed value: excitation of a band's power at full scale, 105 decibels.
+FULL_SCALE_EXCITATION = 3.1622776601683795e10
+
+
+def perceptual_weights(objects: DataFrame, scene: list[str], local: bool = True, full_scale: float = FULL_SCALE_EXCITATION) -> DataFrame:
+    """scene, object, energy: what an object adds to the loudness of its scene, band by band, over what masks it, times
+    its importance. objects: scene, object, powers (array by band), radiated (gain vector, for overlap), importance.
+
+    The masker of a band is the sum of the others' power, by how far they come from the same place where local. A scene
+    holds a bounded number of objects, which become one array, so that no row is joined with another.
+    """
+    from auralake.functions import levels as L
+
+    o = objects.select(*scene, "object", "powers", "radiated", F.coalesce("importance", F.lit(1.0)).alias("importance"), G.norm(F.col("radiated")).alias("_n"))
+    every = o.groupBy(*scene).agg(F.collect_list(F.struct("object", "powers", "radiated", F.col("_n").alias("n"))).alias("_all"))
+    met = o.join(every, scene)
+
+    def overlap(other: Column) -> Column:
+        lengths = F.col("_n") * other["n"]
+        cos = F.when(lengths > 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), G.dot(F.col("radiated"), other["radiated"]) / lengths))).otherwise(0.0)
+        return cos if local else F.lit(1.0)
+
+    others = F.filter("_all", lambda a: a["object"] != F.col("object"))
+    parts = F.transform(others, lambda a: F.struct(overlap(a).alias("k"), a["powers"].alias("p")))
+    masker = F.aggregate(parts, F.transform("powers", lambda p: p * 0.0), lambda acc, a: F.zip_with(acc, a["p"], lambda m, p: m + a["k"] * p))
+    met = met.withColumn("_masker", masker)
+    added = F.aggregate(F.zip_with("powers", "_masker", lambda own, m: L.added_loudness(own * full_scale, m * full_scale)), F.lit(0.0), lambda s, v: s + v)
+    return met.select(*scene, "object", (added * F.col("importance")).alias("energy"))

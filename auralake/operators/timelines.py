@@ -34,9 +34,13 @@ def segments(df: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def segment_lookup(probes: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, until: str) -> DataFrame:
-    """Each probe with the span that holds it (start <= at < until): an equi-join on the stream, ranges within."""
-    s = spans.withColumnRenamed(at, start) if at in spans.columns and start not in spans.columns else spans
-    return probes.join(s, keys).where((F.col(at) >= F.col(start)) & (F.col(until).isNull() | (F.col(at) < F.col(until))))
+    """Each probe with the span that holds it (start <= at < until); a stream's spans don't overlap. The latest span that
+    starts by then, by asof_join(), and a look at its end: linear in both, whatever a stream's length."""
+    rest = [c for c in spans.columns if c not in (*keys, start)]
+    s = spans.select(*keys, F.col(start).alias(at), F.col(start).alias("_start"), *[F.col(c).alias(f"_{c}") for c in rest])
+    got = asof_join(probes, s, keys, at, ["_start", *[f"_{c}" for c in rest]])
+    got = got.where(F.col("_start").isNotNull() & (F.col(f"_{until}").isNull() | (F.col(at) < F.col(f"_{until}"))))
+    return got.select(*probes.columns, F.col("_start").alias(start), *[F.col(f"_{c}").alias(c) for c in rest])
 
 
 def changed(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
