@@ -54,6 +54,11 @@ def erb_rate(hz: Column) -> Column:
     return 21.4 * F.log10(1 + 0.00437 * hz)
 
 
+def erb_frequency(rate: Column) -> Column:
+    """The inverse of erb_rate()."""
+    return (F.pow(F.lit(10.0), rate / 21.4) - 1) / 0.00437
+
+
 def erb_width(hz: Column) -> Column:
     return 24.7 * (1 + 0.00437 * hz)
 

@@ -51,6 +51,39 @@ class Bits:
 
 
 @lru_cache
+class Reader:
+    """Reads bits in the order in which Bits writes them; reading beyond the end is an error."""
+
+    def __init__(self, data: bytes) -> None:
+        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
+        self.at = 0
+
+    def get(self, width: int) -> int:
+        if self.at + width > len(self.bits):
+            raise ValueError(f"{width} bits wanted at {self.at} of {len(self.bits)}")
+        out = 0
+        for b in self.bits[self.at : self.at + width].tolist():
+            out = out << 1 | b
+        self.at += width
+        return out
+
+    def signed(self, width: int) -> int:
+        v = self.get(width)
+        return v - (1 << width) if width and v >> (width - 1) else v
+
+    def rice(self, k: int) -> int:
+        """An unsigned value as Bits.rice() writes it."""
+        ones = np.flatnonzero(self.bits[self.at :])
+        if not len(ones):
+            raise ValueError("a quotient without an end")
+        q = int(ones[0])
+        self.at += q + 1
+        return q << k | self.get(k)
+
+    def align(self) -> None:
+        self.at = -(-self.at // 8) * 8
+
+
 def _table(width: int, polynomial: int) -> list[int]:
     top, mask = 1 << (width - 1), (1 << width) - 1
     table = []

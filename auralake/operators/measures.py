@@ -48,6 +48,15 @@ def integrated(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return every.join(kept, keys, "left").select(*keys, F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("lufs", F.lit(float("-inf"))).alias("lufs"))
 
 
+def dialogue_loudness(blocks: DataFrame, speech: DataFrame, keys: list[str], block: str = "sub") -> DataFrame:
+    """integrated() over the blocks that speech (keys, block) names, gated against each other alone; minus infinity for
+    a programme without any. With the share of blocks that are speech."""
+    said = blocks.join(speech.select(*keys, F.col(block), F.lit(True).alias("_said")).distinct(), [*keys, block], "left")
+    share = said.groupBy(*keys).agg(F.avg(F.coalesce("_said", F.lit(False)).cast("double")).alias("share"))
+    kept = integrated(said.where("_said").drop("_said"), keys)
+    return share.join(kept, keys, "left").select(*keys, F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("lufs", F.lit(float("-inf"))).alias("lufs"), "share")
+
+
 def loudness_range(kept: DataFrame, keys: list[str]) -> DataFrame:
     """Spread of the short-term loudness of gated blocks: nearest-rank 95 % less 10 %, never under 0."""
     r = nearest_ranks(kept.withColumn("_l", levels.loudness(F.col("mean"))), keys, "_l", {"high": 0.95, "low": 0.1})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -91,10 +93,10 @@ def mixdown(spark, sf_dir):
 
 @query("""WITH w AS (SELECT l_orderkey AS block, l_linenumber AS object, l_suppkey % 3 AS element, max(l_discount * 10) AS weight, max(l_tax * 10) AS peak FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT block, object, max(peak) AS peak FROM w GROUP BY 1, 2),
     t AS (SELECT w.*, sum(abs(weight) * p.peak) OVER (PARTITION BY block, element) AS total FROM w JOIN p USING (block, object))
-    SELECT block, object, element, CASE WHEN total > 0.5003 AND weight > 0 THEN round(weight * 0.5003 / total, 8) END AS bound FROM t""")
+    SELECT block, object, element, CASE WHEN total > pi() / 6 AND weight > 0 THEN round(weight * pi() / 6 / total, 8) END AS bound FROM t""")
 def headroom_bounds(spark, sf_dir):
     w = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("object"), (F.col("l_suppkey") % 3).alias("element")).agg(F.max(F.col("l_discount") * 10).alias("weight"), F.max(F.col("l_tax") * 10).alias("peak"))
-    b = N.peak_bounds(w.select("block", "object", "element", "weight"), w.groupBy("block", "object").agg(F.max("peak").alias("peak")), ["block"], 0.5003)
+    b = N.peak_bounds(w.select("block", "object", "element", "weight"), w.groupBy("block", "object").agg(F.max("peak").alias("peak")), ["block"], math.pi / 6)
     return b.select("block", "object", "element", _r(F.col("bound"), 8).alias("bound"))
 
 
