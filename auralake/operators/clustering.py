@@ -36,9 +36,9 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def capped(a: np.ndarray, b: np.ndarray, paths: int, allowed: np.ndarray | None = None) -> np.ndarray:
-    """nnls() with at most `paths` active at any time: once as many are, the steepest of the others comes in for the one
-    whose loss is least, as long as that lowers the residual. Not the strongest of a free solution, which is another
-    and a worse one."""
+    """nnls() with at most `paths` active at any time: the steepest comes in while there is room, then the exchange of one
+    for another that lowers the residual most, as long as one does. Not the strongest of a free solution, which is
+    another and a worse one."""
     n = a.shape[1]
     may = np.ones(n, bool) if allowed is None else np.asarray(allowed, bool)
     active: list[int] = []
@@ -61,7 +61,7 @@ def capped(a: np.ndarray, b: np.ndarray, paths: int, allowed: np.ndarray | None
         if len(active) < paths:
             tries = [[*active, at]]
         else:
-            tries = [[*(c for c in active if c != out), at] for out in active]
+            tries = [[*(c for c in active if c != out), into] for out in active for into in np.flatnonzero(slope > 0).tolist()]
         best = min(((*solved(t), t) for t in tries), key=lambda r: r[1])
         if best[1] >= residual - 1e-12:
             break
