@@ -402,15 +402,20 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.flush()
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, t in groups(batches, "grp"):
-        node = t["node"].to_pylist()
-        uf = UnionFind()
-        for i, j in similar_links([np.frombuffer(x, "<u8") for x in t["data"].to_pylist()]):
-            uf.union(node[i], node[j])
-        pairs = [(x, r) for x in uf.up if (r := uf.find(x)) != x]
-        if pairs:
-            yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+def _verified(words: int):
+    """Links of each group, by exact similarity of its texts' sets of (64-bit hashes of) shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in groups(batches, "grp"):
+            node = t["node"].to_pylist()
+            uf = UnionFind()
+            for i, j in similar_links([shingle_set(x, words) for x in t["text"].to_pylist()]):
+                uf.union(node[i], node[j])
+            pairs = [(x, r) for x in uf.up if (r := uf.find(x)) != x]
+            if pairs:
+                yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return run
 
 
 def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = WITHIN) -> DataFrame:
@@ -446,16 +451,13 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
     nodes = stage(marked.groupBy("sig").agg(first).select(F.col("sig").alias("node"), F.col("m.fp").alias("fp"), F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash")), "nodes")
     n, buckets = wide(docs), buckets_for(docs)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "data": pa.array([shingle_set(t, words).tobytes() for t in texts(b)], pa.binary())})
-
     def verified(met: DataFrame) -> DataFrame:
-        # The texts stay where they are: a bit table of fixed size picks those that are needed, and the join is exact.
-        wanted = met.select("node").distinct().join(nodes, "node").select("node", "doc_id", "text_hash")
-        some = maybe_in(own, "doc_id", membership(wanted, "doc_id")).join(wanted, ["doc_id", "text_hash"])
-        data = some.select("node", "text").mapInArrow(sets, "node long, data binary")
-        return met.join(data, "node").select("grp", "node", "data").repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified, "u long, v long")
+        # A bit table of fixed size picks the texts that are needed, the others stay where they are; the join is exact.
+        # Texts are shuffled, not sets, which are larger and hold nothing that compression could take out.
+        wanted = met.join(nodes.select("node", "doc_id", "text_hash"), "node")
+        some = maybe_in(own, "doc_id", membership(wanted, "doc_id"))
+        got = wanted.join(some, ["doc_id", "text_hash"]).select("grp", "node", "text")
+        return got.repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified(words), "u long, v long")
 
     dealt = _shards(tables(nodes.count()), nodes).select(F.xxhash64("block", "bits").alias("shard"), "fp", "node").repartition(n, "shard").sortWithinPartitions("shard", "fp", "node")
     met = stage(dealt.mapInArrow(_clusters(radius), "grp long, node long").distinct(), "clusters")
