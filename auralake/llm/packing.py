@@ -169,7 +169,7 @@ class Plan:
 class TokenBytes:
     """Ids by the tokenizers library, as little-endian bytes; the words of Latin-1 texts are memoised."""
 
-    def __init__(self, text: str, cap: int = 600_000) -> None:
+    def __init__(self, text: str, cap: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
