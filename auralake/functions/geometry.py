@@ -14,7 +14,7 @@ CORNERS = [(-1.0, -1.0), (-1.0, 1.0), (0.0, 1.0), (1.0, 1.0), (1.0, -1.0), (-1.0
 SQUARE_AZIMUTHS = [135.0, 45.0, 0.0, -45.0, -135.0, -225.0]
 TILT, TILTED = 30.0, 45.0
 
-#: Smallest audible angle ahead, aside and behind, in degrees.
+# Smallest audible angle ahead, aside and behind, in degrees.
 BLUR = (3.6, 10.0, 5.5)
 
 

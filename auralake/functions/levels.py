@@ -25,9 +25,14 @@ def dialnorm_code(level: Column) -> Column:
     return F.when(finite, F.greatest(F.lit(1.0), F.least(F.lit(31.0), F.round(-level)))).otherwise(F.lit(31.0)).cast("int")
 
 
+# Threshold of hearing, level of full scale, and the dialogue level it is meant for, in decibels.
+THRESHOLD, FULL_SCALE, REFERENCE = 2.4, 105.0, -31.0
+
+
 def audibility_floor(dialnorm: Column) -> Column:
     """Energy below which an object isn't heard at a dialogue level from -31 to -1."""
-    return F.pow(F.lit(10.0), (2.4 - (105 + (-31 - F.greatest(F.lit(-31.0), F.least(F.lit(-1.0), dialnorm))))) / 10)
+    played = FULL_SCALE + (REFERENCE - F.greatest(F.lit(-31.0), F.least(F.lit(-1.0), dialnorm)))
+    return F.pow(F.lit(10.0), (THRESHOLD - played) / 10)
 
 
 def azimuth(x: Column, y: Column) -> Column:
@@ -44,12 +49,6 @@ def inside_angles(angle: Column, start: Column, end: Column, tolerance: float =
     return F.pmod(angle - start + tolerance, F.lit(360.0)) <= F.pmod(end - start, F.lit(360.0)) + 2 * tolerance
 
 
-def angle_between(a: Column, b: Column) -> Column:
-    """Degrees between two unit vectors (arrays); the dot product is clamped, as acos is NaN beyond 1."""
-    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
-
-
 def erb_rate(hz: Column) -> Column:
     return 21.4 * F.log10(1 + 0.00437 * hz)
 
@@ -63,9 +62,19 @@ def erb_width(hz: Column) -> Column:
     return 24.7 * (1 + 0.00437 * hz)
 
 
+# Offset and exponent of the law of loudness.
+QUIET, EXPONENT = 4.72, 0.2
+
+
+def specific_loudness(excitation: Column) -> Column:
+    """Loudness of an excitation in a band; 0 for none or less."""
+    return F.pow(F.greatest(F.lit(0.0), excitation) + QUIET, F.lit(EXPONENT)) - QUIET**EXPONENT
+
+
 def added_loudness(own: Column, others: Column) -> Column:
-    """Specific loudness that `own` adds to `others`."""
-    return F.pow(own + others + 4.72, F.lit(0.2)) - F.pow(others + 4.72, F.lit(0.2))
+    """Specific loudness that `own` adds to `others`; less than nothing counts as nothing."""
+    under = F.greatest(F.lit(0.0), others) + QUIET
+    return F.pow(F.greatest(F.lit(0.0), own) + under, F.lit(EXPONENT)) - F.pow(under, F.lit(EXPONENT))
 
 
 def q7_8(db: Column) -> Column:
@@ -78,16 +87,6 @@ def grid_code(position: Column, steps: int) -> Column:
     return F.round((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), position)) + 1) / 2 * steps).cast("int")
 
 
-def zigzag(r: Column) -> Column:
-    return F.shiftleft(r, 1).bitwiseXOR(F.shiftright(r, 63))
-
-
-def clock(seconds: Column) -> Column:
-    """h:mm:ss.t"""
-    t = F.round(seconds * 10).cast("long")
-    return F.format_string("%d:%02d:%02d.%d", F.expr("0L") + F.floor(t / 36000), F.floor(t / 600) % 60, F.floor(t / 10) % 60, t % 10)
-
-
 def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
     """Piecewise-linear curve, clamped at its ends; knots by rising x."""
     out = F.when(x <= knots[0][0], F.lit(float(knots[0][1])))

@@ -155,6 +155,7 @@ def seed(directions: np.ndarray, energies: np.ndarray, count: int) -> np.ndarray
     nearest = directions @ directions[chosen[0]]
     while len(chosen) < count:
         need = energies * (1 - nearest)
+        need[chosen] = 0.0  # exactly, whatever rounding left of it
         at = _last_max(need)
         if need[at] <= 0:
             break

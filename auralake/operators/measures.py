@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions import levels
+from auralake.functions.codes import zigzag
 from auralake.operators.report import nearest_ranks
 
 
@@ -94,7 +95,7 @@ def lag_search(a: DataFrame, b: DataFrame, keys: list[str], unit: str, lags: ran
 
 def rice_parameter(df: DataFrame, keys: list[str], residual: Column, most: int = 14) -> DataFrame:
     """The first parameter k with the fewest bits n (k + 1) + (sum of zig-zagged residuals >> k)."""
-    s = df.groupBy(*keys).agg(F.sum(levels.zigzag(residual)).alias("s"), F.count("*").alias("n"))
+    s = df.groupBy(*keys).agg(F.sum(zigzag(residual)).alias("s"), F.count("*").alias("n"))
     bits = [F.struct((F.col("n") * (k + 1) + F.shiftright("s", k)).alias("bits"), F.lit(k).alias("k")) for k in range(most + 1)]
     return s.select(*keys, F.array_min(F.array(*bits)).alias("b")).select(*keys, "b.k", "b.bits")
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auralake.functions import levels
+from auralake.functions import codes, levels
 from auralake.operators import measures, timelines
 from auralake.sources import wav
 from auralake.streaming import meters
@@ -55,7 +55,7 @@ def test_scalar_edges(spark):
     one = spark.range(1)
     r = one.select(
         levels.loudness(F.lit(0.0)), levels.dialnorm_code(F.lit(float("nan"))), levels.dialnorm_code(F.lit(-23.4)), levels.relative_angle(F.lit(10.0), F.lit(5.0)),
-        levels.inside_angles(F.lit(-170.0), F.lit(150.0), F.lit(-150.0)), levels.q7_8(F.lit(1e9)), levels.zigzag(F.lit(-3).cast("long")), levels.clock(F.lit(3725.44)),
+        levels.inside_angles(F.lit(-170.0), F.lit(150.0), F.lit(-150.0)), levels.q7_8(F.lit(1e9)), codes.zigzag(F.lit(-3).cast("long")), codes.clock(F.lit(3725.44)),
         levels.interpolate(F.lit(-1.0), [(0.0, 2.0), (1.0, 3.0)]), measures.nearest_rank(F.sequence(F.lit(0), F.lit(19)), 0.1), levels.energy(levels.loudness(F.lit(0.25))),
     ).first()
     assert tuple(r)[:10] == (float("-inf"), 31, 23, 365.0, True, 32767, 5, "1:02:05.4", 2.0, 2) and abs(r[10] - 0.25) < 1e-12
