@@ -61,7 +61,7 @@ def capped(a: np.ndarray, b: np.ndarray, paths: int, allowed: np.ndarray | None
         if len(active) < paths:
             tries = [[*active, at]]
         else:
-            tries = [[*(c for c in active if c != out), into] for out in active for into in np.flatnonzero(slope > 0).tolist()]
+            tries = [[*(c for c in active if c != out), into] for out in active for into in np.argsort(-slope, kind="stable")[:4].tolist() if slope[into] > 0]
         best = min(((*solved(t), t) for t in tries), key=lambda r: r[1])
         if best[1] >= residual - 1e-12:
             break
