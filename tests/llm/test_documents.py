@@ -276,11 +276,10 @@ def test_similar_links_matches_sets():
         assert [want.find(i) for i in range(len(some))] == [got.find(i) for i in range(len(some))]
 
 
-def test_lines(docs):
-    data = {(r[0], r[1]) for r in rows()}
-    keys = {(r.doc_id, r.text): r.k for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id, coalesce(text, '')) k").collect()}
+def line_rows(data, keys):
+    """By (doc_id, text) the numbers of the lines that stay, brute force; keys order the texts of one id."""
     at = {}
-    for d, t in data:
+    for d, t in set(data):
         for i, line in enumerate((t or "").split("\n")):
             x = " ".join(line.lower().split())
             if x:
@@ -297,22 +296,42 @@ def test_lines(docs):
             x = root[x]
         return x
 
-    linked = 0
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]):
+            small, large = sorted((len(sh[a]), len(sh[b])))
+            if small >= 0.8 * large and len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]):
                 p, q = sorted((find(a), find(b)), key=first.get)
-                linked += p != q
                 root[q] = p
     keep = {first[x] for x in distinct if find(x) == x}
+    out = {}
+    for d, t in set(data):
+        o = (-(1 << 63) if d is None else d, keys[(d, t)])
+        out[(d, t)] = [i for i, x in enumerate((t or "").split("\n")) if not x.strip() or (*o, i) in keep]
+    return out
+
+
+def kept_text(t, stay):
+    return None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i in set(stay))
+
+
+def row_keys(docs):
+    return {(r.doc_id, r.text): r.k for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id, coalesce(text, '')) k").collect()}
+
+
+def test_lines(docs):
+    stay = line_rows([(r[0], r[1]) for r in rows()], row_keys(docs))
     got = lines.dedup_lines(docs)
-    assert got.columns == docs.columns and got.count() == docs.count() and linked > 0
-    want = Counter()
+    assert got.columns == docs.columns and got.count() == docs.count()
+    want, report = Counter(), Counter()
     for r in rows():
-        o = (-(1 << 63) if r[0] is None else r[0], keys[(r[0], r[1])])
-        t = None if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if not x.strip() or (*o, i) in keep)
+        t = kept_text(r[1], stay[(r[0], r[1])])
         want[(r[0], t, r[2], r[3], r[4], r[5])] += 1
+        n = len(r[1].split("\n")) if r[1] else 0
+        gone = tuple(i for i in range(n) if i not in stay[(r[0], r[1])])
+        report[(r[0], n, len(gone), gone, t)] += 1
     assert by_row(got, "doc_id", "text", "key", "_key", "_row", "score") == want
+    told = lines.dedup_lines(docs, report=True).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.removed), r.kept) for r in told) == report and sum(n * len(k[3]) for k, n in report.items()) > 10
 
 
 def test_packing(docs):
@@ -550,6 +569,35 @@ def test_fingerprints(docs):
     assert by_row(digest.fingerprints(docs), "fingerprint") == Counter({(k,): n for k, n in Counter(digest.fingerprint(x[1].encode()) for x in data).items()})
 
 
+def test_digest_by_hand():
+    """The digest and the score from their definitions, triplet by triplet."""
+    import math
+
+    def digest_of(data):
+        padded, counts = data + bytes(11), [0] * 256
+        for at in range(len(data)):
+            for k, (i, j) in enumerate(((3, 7), (5, 11), (2, 9))):
+                x = (padded[at] * 0x9E3779B1 + padded[at + i] * 0x85EBCA77 + padded[at + j] * 0xC2B2AE3D + k * 0x27D4EB2F) & 0xFFFFFFFF
+                x = (x ^ x >> 15) * 0x85EBCA77 & 0xFFFFFFFF
+                x = (x ^ x >> 13) * 0xC2B2AE3D & 0xFFFFFFFF
+                counts[x >> 24] += 1
+        s = sorted(counts)
+        return min(4095, round(32 * math.log2(1 + len(data)))), [sum(c > s[q] for q in (63, 127, 191)) for c in counts]
+
+    def shown(length, quartiles):
+        body = "".join(f"{quartiles[i] << 6 | quartiles[i + 1] << 4 | quartiles[i + 2] << 2 | quartiles[i + 3]:02x}" for i in range(0, 256, 4))
+        return f"{length:03x}{body}"
+
+    texts = [b"", b"a", b"some words of a text", ("some other words é " * 30).encode(), bytes(range(256)) * 3]
+    made = [digest_of(t) for t in texts]
+    assert [digest.fingerprint(t) for t in texts] == [shown(*m) for m in made]
+    for a, x in zip(texts, made):
+        for b, y in zip(texts, made):
+            cost = sum((0, 1, 2, 6)[abs(p - q)] for p, q in zip(x[1], y[1])) + min(48, abs(x[0] - y[0]))
+            want = 1.0 if x == y else max(0.0, 1 - cost / (1.625 * 256))
+            assert abs(digest.likeness(digest.fingerprint(a), digest.fingerprint(b)) - want) < 1e-12
+
+
 def test_digest_counts_in_steps(monkeypatch):
     data = bytes(np.random.default_rng(1).integers(0, 256, 5000, np.uint8))
     want = digest.fingerprint(data)

@@ -1,17 +1,19 @@
 """Chat formatting, toxicity, top-k search and the pipeline."""
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from auralake.llm import chat, queries, topk, toxicity
-from auralake.llm.packing import TokenBytes
+from auralake.llm import chat, queries, secrets, topk, toxicity
 
 from .fixtures import documents, rows
+from .test_documents import kept_text, line_rows, row_keys, survivors
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.01"
@@ -40,8 +42,6 @@ def test_chat(spark, monkeypatch):
         want.add((c, len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()))
     got = chat.read_back(made).collect()
     assert {(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want and len(got) == len(want)
-    from tokenizers import Tokenizer
-
     tok = Tokenizer.from_file(BYTE_BPE)
     for r in made.where("conv_id in (1, 2)").collect():
         assert len(r.ids) == len(r.loss_mask) and any(r.loss_mask)
@@ -184,21 +184,41 @@ def test_index_stops_early():
     assert np.mean(read) < 0.6 and np.mean(rescored) < 0.6
 
 
-def test_pipeline_stages(spark, tmp_path):
-    """Each stage against what its operator's own brute-force test holds, and the last one in full."""
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() against its five stages one by one in plain Python: pairwise scores, all pairs of lines and of texts, the
+    base patterns by other means, and the library's tokenizer."""
     docs = documents(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    labels = [(r[0], int("changed" in (r[1] or ""))) for r in rows() if r[0] is not None]
-    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.createDataFrame([(r[0], int("changed" in (r[1] or ""))) for r in rows() if r[0] is not None], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    fm = toxicity.fit(docs, labels)
+    terms = toxicity.Terms(frozenset(fm.index))
+
+    def toxic(text):
+        t = sorted(fm.index[x] for x in terms(text or ""))
+        return fm.w0 + sum(fm.w[i] for i in t) + sum(float(fm.v[i] @ fm.v[j]) for a, i in enumerate(t) for j in t[:a]) >= 0
+
+    kept = [(r[0], r[1]) for r in rows() if not toxic(r[1])]
+    stay = line_rows(kept, row_keys(docs))
+    kept = [(d, kept_text(t, stay[(d, t)])) for d, t in kept]
+    alive = survivors(kept)
+    once = {(d, t or "") for d, t in kept if d is not None and (d, t or "") in alive}
+    kept = sorted(once) + [(d, t) for d, t in kept if d is None]
+    kept = [(d, secrets.redact(t or "", secrets.scan(t or ""))) for d, t in kept]
+    tok = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    want = Counter()
+    for d, t in kept:
+        ids = tok.encode(t, add_special_tokens=False).ids + [1]
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[a : a + 4096], "<u4")
+            want[(d, k, a, len(part), zlib.crc32(part.tobytes()))] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    fill = Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 4096 and not any("abcdefgh12345" in t for _, t in kept)
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, step in corpus_pipeline.STAGES[:-1]:
-        out = step(spark, df, str(tmp_path))
-        assert out.columns == docs.columns
-        out.write.parquet(f"{tmp_path}/{name}")
-        df = spark.read.parquet(f"{tmp_path}/{name}")
-    with open(corpus_pipeline.TOKENIZER, encoding="utf-8") as f:
-        tok = TokenBytes(f.read())
-    want = Counter(r.doc_id for r in df.collect() for _ in range(0, len(tok.ids(r.text or "")) // 4 + 1, 4096))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert Counter(r.doc_id for r in got) == want
-    assert not any("abcdefgh12345" in (r.text or "") for r in df.collect())
+        df = step(spark, df, str(tmp_path))
+        assert df.columns == docs.columns
