@@ -144,3 +144,67 @@ def channel_of_track(elements: DataFrame) -> DataFrame:
     chained = tracks.join(table("audioTrackFormat", "track", "audioStreamFormatIDRef", "stream"), ["path", "track"], "left")
     chained = chained.join(table("audioStreamFormat", "stream", "audioChannelFormatIDRef", "through"), ["path", "stream"], "left")
     return chained.select("path", "uid", F.coalesce("direct", "through").alias("channel_format"))
+
+
+# Names of the parts that an element's references stand for, in writing order, and the space of names.
+REFS = ["audioContentIDRef", "audioObjectIDRef", "audioPackFormatIDRef", "audioChannelFormatIDRef", "audioStreamFormatIDRef", "audioTrackFormatIDRef", "audioTrackUIDRef"]
+SPACE = "urn:ebu:metadata-schema:ebuCore_2015"
+
+
+def _said(v: float) -> str:
+    return repr(int(v)) if float(v).is_integer() and abs(v) < 1e15 else repr(float(v))
+
+
+def _write_block(parent: ET.Element, b: dict) -> None:
+    def leaf(name: str, text, **attributes: str) -> None:
+        if text is not None:
+            ET.SubElement(e, name, attributes).text = text if isinstance(text, str) else _said(text)
+
+    e = ET.SubElement(parent, "audioBlockFormat", {k: v for k, v in (("audioBlockFormatID", b.get("id")), ("rtime", b.get("rtime")), ("duration", b.get("duration"))) if v is not None})
+    leaf("speakerLabel", b.get("speaker_label"))
+    if b.get("cartesian") is not None:
+        leaf("cartesian", "1" if b["cartesian"] else "0")
+    for axis, v in zip(("X", "Y", "Z") if b.get("cartesian") else ("azimuth", "elevation", "distance"), b.get("position") if b.get("position") is not None else ()):
+        leaf("position", float(v), coordinate=axis)
+    for name in NUMBERS:
+        leaf(name, b.get(name))
+    leaf("importance", None if b.get("importance") is None else str(int(b["importance"])))
+    if b.get("jump") is not None:
+        leaf("jumpPosition", "1" if b["jump"] else "0", **({"interpolationLength": b["interpolation"]} if b.get("interpolation") else {}))
+
+
+def document(rows: list[dict]) -> str:
+    """The XML of a description from its elements' rows (kind, id, name, attributes, refs, blocks), kinds in order."""
+    root = ET.Element("ebuCoreMain", {"xmlns": SPACE})
+    top = ET.SubElement(ET.SubElement(ET.SubElement(root, "coreMetadata"), "format"), "audioFormatExtended")
+    for r in sorted((r for r in rows if r["kind"] in KINDS), key=lambda r: (KINDS.index(r["kind"]), r["id"] or "")):
+        key = "UID" if r["kind"] == "audioTrackUID" else f"{r['kind']}ID"
+        own = {k: v for k, v in ((key, r["id"]), (f"{r['kind']}Name", r["name"])) if v is not None}
+        e = ET.SubElement(top, r["kind"], own | {k: v for k, v in sorted((r["attributes"] or {}).items()) if k not in own and v is not None})
+        for b in r["blocks"] if r["blocks"] is not None else ():
+            _write_block(e, b)
+        refs = dict(r["refs"] or {})
+        for name in [n for n in REFS if n in refs] + sorted(n for n in refs if n not in REFS):
+            for to in refs[name]:
+                ET.SubElement(e, name).text = to
+    ET.indent(root)
+    return '<?xml version="1.0" encoding="UTF-8"?>\n' + ET.tostring(root, encoding="unicode") + "\n"
+
+
+def write_axml(elements: DataFrame) -> DataFrame:
+    """path, text: the document of each path from rows as parse_axml() gives them; it reads back the same. Rows with an
+    error are left out. A document is one row, as a chunk of a file is."""
+    rows = elements.where("kind is not null").select("path", F.struct("kind", "id", "name", "attributes", "refs", "blocks").alias("e"))
+    write = F.udf(lambda es: document([e.asDict(recursive=True) for e in es]), "string", useArrow=False)
+    return rows.groupBy("path").agg(F.sort_array(F.collect_list(F.to_json("e"))).alias("n"), F.collect_list("e").alias("es")).select("path", write("es").alias("text"))
+
+
+def encode_chna(rows: list[tuple[int, str, str, str]]) -> bytes:
+    """The body of a track table: (track, uid, track format, pack format), ids padded to their fields with zeros."""
+    tracks = len({r[0] for r in rows})
+    return struct.pack("<HH", tracks, len(rows)) + b"".join(struct.pack("<H12s14s11sx", t, *(v.encode("latin-1") for v in ids)) for t, *ids in rows)
+
+
+def description_chunks(rows: list[tuple[int, str, str, str]], text: str) -> list[tuple[str, bytes]]:
+    """Names and bodies of the two chunks of a description, in writing order."""
+    return [("chna", encode_chna(rows)), ("axml", text.encode())]

@@ -39,7 +39,8 @@ def header(f) -> dict:
         elif name == b"data":
             if size == 0xFFFFFFFF and long_size is not None:
                 size = long_size
-            return out | {"data": at, "frames": size // out["align"]}
+            there = f.seek(0, 2) - at  # a file that was cut off has fewer samples than its header says
+            return out | {"data": at, "frames": min(size, there) // out["align"]}
         f.seek(at + size + size % 2)
     raise ValueError("no samples")
 
