@@ -4,7 +4,7 @@ A string of LENGTH bytes is anchored at the smallest of the hashed GRAM-byte str
 equal anchors wherever they stand. Only segments around anchors that occur more than once are compared. In each
 group of segments the suffixes from a segment's window starts are sorted, and a stack scan over their common
 prefixes walks the interval tree: every interval of LENGTH or more bytes whose occurrences differ to their left is
-a maximal repeat, and all its occurrences but the first are removed.
+a maximal repeat, a group of all its occurrences, and all but the first of each group are removed.
 
 A chunk of documents is first compared within its task: of copies in one chunk only the first go on, so a group of
 copies, whatever its size, has at most one segment for each chunk in the shuffle.
@@ -117,46 +117,45 @@ def repeated(h: np.ndarray) -> np.ndarray:
     return order[keep]
 
 
-def scan(lcp: list[int], rank: list[int], left: list[int]) -> list[int]:
-    """Bottom-up walk over the common-prefix intervals of sorted suffixes.
+def maximal_repeats(lcp: list[int], rank: list[int], left: list[int]) -> list[tuple[int, int, int, int]]:
+    """Bottom-up walk over the common-prefix interval tree of sorted suffixes.
 
     lcp[i]: common prefix of i - 1 and i, 0 between unrelated ones. rank: order of occurrence. left: the byte to
-    the left, negative where it is unknown or there is none. Returns for each suffix the length of the longest
-    maximal repeat of LENGTH or more bytes in which it isn't the first occurrence, 0 if there is none.
+    the left, negative where it is unknown or there is none. Returns the groups (length, lo, hi, first): the suffixes lo
+    to hi are all occurrences of a string of that length, LENGTH at least, which no longer string has in common; their
+    left bytes differ, or they would all be part of a longer repeat; first is the one that occurs first.
     """
-    cover = [0] * len(rank)
-    # An interval: common prefix, first occurrence among its suffixes, the byte to the left of all (-1: they differ),
-    # and the first occurrences of its children, which wait for it to close.
-    stack: list[list] = []
-
-    def close(node: list) -> None:
-        length, best, same, waiting = node
-        if same < 0:  # else all occurrences extend to the left: part of a longer repeat
-            for i in waiting:
-                if rank[i] > rank[best] and cover[i] < length:
-                    cover[i] = length
-
+    groups_: list[tuple[int, int, int, int]] = []
+    # An interval: common prefix, its first suffix, first occurrence, the byte to the left of all (-1: they differ).
+    stack: list[list[int]] = []
     for i, own in enumerate([*lcp[1:], 0]):
-        carried = [i, left[i]]  # the first occurrence and the left byte of what lies below the next interval
+        lo, first, same = i, i, left[i]  # of what lies below the next interval
         while stack and stack[-1][0] > own:
-            node = stack.pop()
-            _join(node, carried, rank)
-            close(node)
-            carried = [node[1], node[2]]
+            length, lo, best, before = stack.pop()
+            first = first if rank[first] < rank[best] else best
+            same = same if same == before else -1
+            if same < 0:
+                groups_.append((length, lo, i, first))
         if own >= LENGTH:
             if stack and stack[-1][0] == own:
-                _join(stack[-1], carried, rank)
+                node = stack[-1]
+                node[2] = first if rank[first] < rank[node[2]] else node[2]
+                node[3] = same if same == node[3] else -1
             else:
-                stack.append([own, carried[0], carried[1], [carried[0]]])
-    return cover
+                stack.append([own, lo, first, same])
+    return groups_
 
 
-def _join(node: list, child: list, rank: list[int]) -> None:
-    if rank[child[0]] < rank[node[1]]:
-        node[1] = child[0]
-    if node[2] != child[1]:
-        node[2] = -1
-    node[3].append(child[0])
+def covers(groups_: list[tuple[int, int, int, int]], rank: np.ndarray) -> np.ndarray:
+    """For each suffix the length of the longest group in which it isn't the first occurrence, 0 if there is none.
+
+    Groups are nested, the longer ones within the shorter, so the longest that says so is met first. Suffixes that
+    stand at one place (rank) are one occurrence."""
+    cover = np.zeros(len(rank), np.int64)
+    for length, lo, hi, first in sorted(groups_, reverse=True):
+        part = cover[lo : hi + 1]
+        part[(part == 0) & (rank[lo : hi + 1] > rank[first])] = length
+    return cover
 
 
 def segment_repeats(body: np.ndarray, offset: np.ndarray, n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +208,7 @@ def segment_repeats(body: np.ndarray, offset: np.ndarray, n: np.ndarray, order:
         new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new)
-        cover = np.array(scan([0, *lcp.tolist()], rank.tolist(), left[a:z][sort].tolist()), np.int64)
+        cover = covers(maximal_repeats([0, *lcp.tolist()], rank.tolist(), left[a:z][sort].tolist()), rank)
         got = np.flatnonzero(cover)
         for x, v in zip(hits, (s[sort][got], i[sort][got], cover[got])):
             x.append(v)

@@ -95,6 +95,33 @@ def test_repeats_in_chunks(spark, monkeypatch, chunk, piece):
     assert sum(want.values()) == len(rows())
 
 
+def test_maximal_repeats_with_all_occurrences(monkeypatch):
+    """Groups against their definition, on short strings with short repeats."""
+    monkeypatch.setattr(substring, "LENGTH", 2)
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        text = "".join(rng.choice(list("ab"), int(rng.integers(2, 24))))
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        common = [0] * len(order)
+        for k in range(1, len(order)):
+            x, y = text[order[k - 1] :], text[order[k] :]
+            common[k] = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        lcp = [c if c >= 2 else 0 for c in common]
+        left = [ord(text[i - 1]) if i else -1 for i in order]
+        got = {(text[order[lo] : order[lo] + n], frozenset(order[lo : hi + 1]), order[first]) for n, lo, hi, first in substring.maximal_repeats(lcp, order, left)}
+        want = set()
+        for s in {text[i:j] for i in range(len(text)) for j in range(i + 2, len(text) + 1)}:
+            at = [i for i in range(len(text)) if text.startswith(s, i)]
+            after = {text[i + len(s) : i + len(s) + 1] or i for i in at}  # an end differs from all else
+            before = {text[i - 1] if i else None for i in at}
+            if len(at) > 1 and len(after) > 1 and (len(before) > 1 or None in before):
+                want.add((s, frozenset(at), min(at)))
+        assert got == want
+        cover = substring.covers(substring.maximal_repeats(lcp, order, left), np.array(order))
+        for k, i in enumerate(order):
+            assert cover[k] == max((len(s) for s, at, first in want if i in at and i != first), default=0)
+
+
 def words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", low)
