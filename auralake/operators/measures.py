@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,40 @@ def fixed_predictors(df: DataFrame, keys: list[str], order: list[str], sample: s
     sums = rows.groupBy(*keys).agg(*[F.sum(F.abs(f"r{i}")).alias(f"s{i}") for i in range(5)])
     best = F.array_min(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(i).alias("o")) for i in range(5)]))
     return sums.withColumn("best_order", best["o"])
+
+
+def peaks_since(samples: DataFrame, keys: list[str], index: str, x: str, every: int) -> DataFrame:
+    """keys, take, peak: the largest magnitude in each interval of `every` samples, as a meter that is read and reset."""
+    return samples.groupBy(*keys, F.floor(F.col(index) / every).alias("take")).agg(F.max(F.abs(x)).alias("peak"))
+
+
+def autocorrelation(samples: DataFrame, keys: list[str], index: str, x: str, lags: int) -> DataFrame:
+    """keys, lag, r: sum of x[n] x[n + lag] for lags from 0 on, over samples without gaps."""
+    w = Window.partitionBy(*keys).orderBy(index)
+    terms = [F.sum(F.col(f"_x{k}")).alias(f"_r{k}") for k in range(lags + 1)]
+    rows = samples.select(*keys, *[(F.col(x) * F.lead(x, k).over(w)).alias(f"_x{k}") for k in range(lags + 1)])
+    sums = rows.groupBy(*keys).agg(*terms)
+    return sums.select(*keys, F.posexplode(F.array(*[F.coalesce(f"_r{k}", F.lit(0.0)) for k in range(lags + 1)])).alias("lag", "r"))
+
+
+def least_squares(samples: DataFrame, keys: list[str], target: str, sources: list[str], bits: int) -> DataFrame:
+    """keys, weights: the weights of sources that come nearest to the target, in steps of 2 ** -bits; null where the
+    sources don't determine them. The products are added up where the samples are; a key's sums are one small row."""
+    pairs = [(a, b) for i, a in enumerate(sources) for b in [*sources[i:], target]]
+    sums = samples.groupBy(*keys).agg(*[F.sum(F.col(a).cast("double") * F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        n, out = len(sources), []
+        for r in rows[[f"_{i}" for i in range(len(pairs))]].to_numpy(float):
+            gram, right = np.zeros((n, n)), np.zeros(n)
+            for (a, b), v in zip(pairs, r):
+                if b == target:
+                    right[sources.index(a)] = v
+                else:
+                    gram[sources.index(a), sources.index(b)] = gram[sources.index(b), sources.index(a)] = v
+            good = np.isfinite(gram).all() and np.linalg.matrix_rank(gram) == n
+            out.append(np.floor(np.linalg.solve(gram, right) * 2**bits + 0.5).astype(np.int64).tolist() if good else None)
+        return pd.DataFrame({**{k: rows[k] for k in keys}, "weights": out})
+
+    types = dict(samples.dtypes)
+    return sums.mapInPandas(lambda batches: map(solve, batches), ", ".join([*[f"{k} {types[k]}" for k in keys], "weights array<long>"]))

@@ -51,6 +51,41 @@ def test_change_or_due(spark, tmp_path):
     assert sorted((r.stream, r.unit) for r in got.collect()) == [(s, u) for s in (1, 2) for u in (0, 150, 300, 450)]
 
 
+def test_streamed_loudness_is_the_batch_one(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(p, i, float(e)) for p in (1, 2) for i, e in enumerate(rng.random(60) * 0.01 * (p == 1) + 1e-9 * (p == 2)) if i % 13]
+    df = spark.createDataFrame(rows, "programme long, sub long, e double")
+    df.where("sub < 25").coalesce(1).write.parquet(f"{tmp_path}/in")
+    df.where("sub >= 20").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")  # some come again
+    got = _run(spark, meters.loudness_meter(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 10).parquet(f"{tmp_path}/in")), "loud")
+    last = {r.programme: r for r in got.collect() if r["sub"] == 59}
+    grid = df.groupBy("programme").agg(F.explode(F.sequence(F.min("sub"), F.max("sub"))).alias("sub")).join(df, ["programme", "sub"], "left").fillna(0.0, ["e"])
+    want = {r.programme: r.lufs for r in measures.integrated(measures.sliding(grid, ["programme"], 4), ["programme"]).collect()}
+    assert abs(last[1].integrated - want[1]) < 1e-9 and last[2].integrated == want[2] == float("-inf") and last[1].short_term is not None
+
+
+def test_streamed_smoothing_is_the_batch_one(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(o, b, float(e)) for o in (1, 2) for b, e in enumerate(np.exp(rng.normal(0, 1.5, 40)))]
+    df = spark.createDataFrame(rows, "object long, block long, energy double")
+    ends = spark.createDataFrame([(o, 40, None) for o in (1, 2)], df.schema)
+    df.unionByName(ends).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = _run(spark, meters.smoother(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 1, 2), "smooth")
+    want = df.withColumn("held", timelines.held(df, ["object"], ["block"], "energy", 1, 2))
+    assert {tuple(r) for r in got.collect()} == {(r.object, r.block, r.held) for r in want.collect()}
+
+
+def test_products_of_samples(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-99, 99, 200), rng.integers(-99, 99, 200)
+    df = spark.createDataFrame([(1, i, int(x), int(y), int(x * 0.5 - y * 0.25)) for i, (x, y) in enumerate(zip(a, b))] + [(2, 0, 1, 2, 3)], "k int, i int, a int, b int, t int")
+    got = {r.k: r.weights for r in measures.least_squares(df, ["k"], "t", ["a", "b"], 8).collect()}
+    assert got[1] == pytest.approx([128, -64], abs=2) and got[2] is None
+    r = {x.lag: x.r for x in measures.autocorrelation(df.where("k = 1"), ["k"], "i", "a", 3).collect()}
+    assert r == {k: float((a[: 200 - k] * a[k:]).sum()) for k in range(4)}
+    assert [x.peak for x in measures.peaks_since(df.where("k = 1"), ["k"], "i", "a", 100).orderBy("take").collect()] == [abs(a[:100]).max(), abs(a[100:]).max()]
+
+
 def test_scalar_edges(spark):
     one = spark.range(1)
     r = one.select(
