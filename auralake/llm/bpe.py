@@ -129,6 +129,11 @@ class Vocabulary:
             self.rank[x << 20 | y] = r
             self.parts[z] = (x, y, r)
         made = [(self.symbols(t), i) for t, i in ids.items() if i in self.parts or len(self.symbols(t)) == 1]
+        # Every byte that UTF-8 has, within a word or at its end, needs a token, or a prefix could be without one.
+        lacking = {b for b in range(0xF5) if b not in (0xC0, 0xC1)} | {b + LAST for b in range(0xC0)}
+        lacking -= {s[0] for s, _ in made if len(s) == 1}
+        if lacking:
+            raise ValueError(f"the vocabulary has no token for {len(lacking)} bytes, such as {min(lacking) % LAST:#04x}")
         self.automaton = SuffixAutomaton(made)
         self.fits: dict[int, bool] = {}
         self.heads: dict[bytes, tuple[int, int, list[int], list[int]]] = {}
