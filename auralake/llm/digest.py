@@ -112,7 +112,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     dealt = (
         keyed.mapInArrow(deal, "part int, copy boolean, doc_id long, text string, k long")
-        .repartition(n, "part")
+        .repartitionById(n, "part")
         .sortWithinPartitions("part", "copy", F.col("k").desc(), "text")
     )
 
