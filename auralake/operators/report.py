@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def word_profile(words: DataFrame, keys: list[str], order: list[str], gain: str, unit: str | None = None) -> DataFrame:
@@ -154,15 +157,24 @@ def longest_first(tasks: DataFrame, keys: list[str], cost: str, workers: int, ti
 
 def first_difference(a: DataFrame, b: DataFrame, keys: list[str], block: str, data: str, size: int) -> DataFrame:
     """By file the first offset at which two block-wise files differ, null where they are equal; a missing block differs
-    at its start. Blocks are compared by digest; only the first unequal one of a file is looked into."""
+    at its start. Only the first unequal block of a file is looked into."""
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*keys, block, F.col(data).alias(name))
 
     both = side(a, "_a").join(side(b, "_b"), [*keys, block], "full_outer")
-    same = F.sha2(F.coalesce("_a", F.lit(b"")), 256) == F.sha2(F.coalesce("_b", F.lit(b"")), 256)
-    x, y = F.hex(F.coalesce("_a", F.lit(b""))), F.hex(F.coalesce("_b", F.lit(b"")))
-    first = both.groupBy(*keys).agg(F.min_by(F.struct(x.alias("x"), y.alias("y"), F.col(block).alias("k")), F.when(~same, F.col(block))).alias("_m"))
-    shorter = F.least(F.length("_m.x"), F.length("_m.y")) / 2
-    places = F.sequence(F.lit(0), shorter.cast("int"))
-    at = F.array_min(F.filter(places, lambda i: F.substring(F.col("_m.x"), i * 2 + 1, F.lit(2)) != F.substring(F.col("_m.y"), i * 2 + 1, F.lit(2))))
-    return first.select(*keys, F.when(F.col("_m").isNotNull(), F.col("_m.k") * size + F.coalesce(at.cast("long"), shorter.cast("long"))).alias("offset"))
+    both = both.withColumns({c: F.coalesce(c, F.lit(b"")) for c in ("_a", "_b")})
+    unequal = both.where("_a <> _b")  # by bytes, which is no dearer than a digest of both
+    first = unequal.groupBy(*keys).agg(F.min_by(F.struct("_a", "_b", F.col(block).alias("k")), block).alias("m"))
+    found = first.select(*keys, (F.col("m.k") * size + _unequal("m._a", "m._b")).alias("offset"))
+    return both.select(*keys).distinct().join(found, keys, "left")
+
+
+@F.pandas_udf(LongType())
+def _unequal(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The first place at which two binary values differ; the shorter one's length where it is the other's beginning."""
+    def one(x: bytes, y: bytes) -> int:
+        n = min(len(x), len(y))
+        at = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)) if n else ()
+        return int(at[0]) if len(at) else n
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")

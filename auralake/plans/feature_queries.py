@@ -79,7 +79,7 @@ def longest_first(spark, sf_dir):
     return R.longest_first(_table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 8, ["o_orderkey"]).select("o_orderkey", "turn", "worker")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(encode(text)) > 10 THEN 7 WHEN doc_id % 3 = 1 THEN length(encode(text)) END AS first_at FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND strlen(text) > 10 THEN 7 WHEN doc_id % 3 = 1 THEN strlen(text) END AS first_at FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def byte_compare(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("block"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     flipped = F.concat(F.substring("data", 1, 7), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("data", 8, 1)), 16, 10).cast("int").bitwiseXOR(1)), 2, "0")), F.expr("substring(data, 9)"))
