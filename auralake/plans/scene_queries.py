@@ -250,10 +250,10 @@ def dialogue_blocks(spark, sf_dir):
     return P.dialogue_blocks(f, ["programme"], "i", "voiced", "opened")
 
 
-@query(f"""SELECT a.programme, a.i, round(sum(0.05 * pow(0.95, a.i - b.i) * b.value), 6) AS level FROM {_F} a JOIN {_F} b ON a.programme = b.programme AND b.i <= a.i GROUP BY 1, 2""")
+@query(f"""SELECT a.programme, a.i, round(sum(pow(20.0::DOUBLE / 21, a.i - b.i) * b.value / 21), 6) AS level FROM {_F} a JOIN {_F} b ON a.programme = b.programme AND b.i <= a.i GROUP BY 1, 2""")
 def leaky_integrator(spark, sf_dir):
-    # Early levels are exact decimals with an even number of places, so that rounding to an even number meets no tie.
-    return P.follow(_frames(spark, sf_dir), "programme", "i", "value", 0.05).select("programme", "i", _r(F.col("y"), 6).alias("level"))
+    # A share of 1 / 21 has no end as a decimal, so that no level is a tie.
+    return P.follow(_frames(spark, sf_dir), "programme", "i", "value", 1 / 21).select("programme", "i", _r(F.col("y"), 6).alias("level"))
 
 
 @query(f"""WITH RECURSIVE u AS (SELECT user_id, CAST(floor(us / 1000) AS BIGINT) AS at_, value::DOUBLE AS v, CAST(event_id % 7 * 3600000 AS BIGINT) AS ramp FROM {E}),
