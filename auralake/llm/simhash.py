@@ -186,8 +186,8 @@ STAGE_WORDS, SIMILAR = 5, 0.8
 WITHIN, TABLES = 14, 12
 #: Documents that are verified together, at most.
 BLOCK = 2_000
-#: Buckets of shingles, as a power of two, and documents whose shingles are counted for the order of prefixes, about.
-RARITY_BITS, RARITY_SAMPLE = 18, 20_000
+#: Buckets of shingles that are counted for the order of prefixes, as a power of two.
+RARITY_BITS = 18
 
 
 def tables(n: int) -> list[int]:
@@ -307,19 +307,17 @@ def _clusters(radius: int):
 
 
 def rarity(docs: DataFrame, words: int = STAGE_WORDS) -> np.ndarray:
-    """Levels of the buckets of shingles, by how many of about RARITY_SAMPLE documents hold one of a bucket's."""
-    n = docs.count()
-    some = docs if n <= RARITY_SAMPLE else docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("rarity")), 2) < int(RARITY_SAMPLE / n * (1 << 62)))
+    """Levels of the buckets of shingles, by how many shingles of all documents' sets are in each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << RARITY_BITS, np.int64)
         for b in batches:
-            for t in texts(b):
-                n += np.bincount((shingle_set(t, words) & np.uint64((1 << RARITY_BITS) - 1)).astype(np.int64), minlength=1 << RARITY_BITS)
+            h = np.concatenate([shingle_set(t, words) for t in texts(b)] or [np.empty(0, np.uint64)])
+            n += np.bincount((h & np.uint64((1 << RARITY_BITS) - 1)).astype(np.int64), minlength=1 << RARITY_BITS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "n": pa.array(n[at])})
 
-    got = some.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     level = np.zeros(1 << RARITY_BITS, np.uint8)
     level[got["bucket"].to_numpy()] = np.ceil(np.log2(got["n"].to_numpy() + 1.0))
     return level

@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from auralake.llm import chat, queries, secrets, topk, toxicity
+from auralake.llm import chat, queries, secrets, simhash, topk, toxicity
 
 from .fixtures import documents, rows
 from .test_documents import kept_text, line_rows, row_keys, survivors
@@ -139,6 +140,42 @@ def test_sample_of_huge_tables_is_not_empty(spark, monkeypatch):
     assert 50 < seen[0] < 150
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """A word that only rows have which a sample of 20,000 by the hash of doc_id would leave out."""
+    docs = spark.range(32_000).selectExpr("id as doc_id", "shiftrightunsigned(xxhash64(id, 'sample'), 2) / shiftleft(1L, 62) > 0.8 as late", "crc32(cast(id as string)) % 5 = 0 as held", "pmod(xxhash64(id), 3) = 0 as bad")
+    word = F.when(F.col("bad") & (F.col("late") | F.col("held")), "venom").otherwise("plain")
+    docs = docs.select("doc_id", F.concat_ws(" ", F.concat(F.lit("filler"), F.translate(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(50)).cast("string"), "0123456789", "abcdefghij")), word).alias("text")).localCheckpoint()
+    marks = docs.select("doc_id", F.col("text").contains("venom").cast("int").alias("toxic"))
+    got = toxicity.score(docs, marks).join(marks, "doc_id").where("held_out").toPandas()
+    assert got.toxic.sum() > 1000 and (got.predicted == got.toxic).all()
+
+
+def test_parts_learn_what_one_model_learns(spark, monkeypatch):
+    """Eight parts, averaged in several steps, of words that tell only together; the order of rows does not matter."""
+    monkeypatch.setattr(toxicity, "PART", 3_200)
+    monkeypatch.setattr(toxicity, "TOGETHER", 2)
+    r = np.random.default_rng(6)
+    words = [[f"filler{'abcdefghij'[i]}" for i in r.integers(0, 10, 4)] + ["alpha"] * int(a) + ["omega"] * int(b) for a, b in r.random((32_000, 2)) < 0.5]
+    data = [(i, " ".join(w)) for i, w in enumerate(words)]
+    docs, marks = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(i, int(("alpha" in w) == ("omega" in w))) for i, w in enumerate(words)], "doc_id long, toxic int")
+    got = toxicity.score(docs, marks).join(marks, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.95
+    one, other = toxicity.fit(docs, marks), toxicity.fit(docs.orderBy(F.desc("doc_id")).repartition(3), marks.repartition(5))
+    assert (one.state() == other.state()).all()
+
+
+def test_mean_state_is_by_rows_of_each_term():
+    a, b = np.full((3, 18), 1.0), np.full((3, 18), 4.0)
+    n, got = toxicity.mean_state([(np.array([1, 0, 5]), a), (np.array([2, 0, 10]), b)])
+    assert n.tolist() == [3, 0, 15] and got[:, 0].tolist() == [3.0, 1.0, 3.0]
+
+
+def test_rarity_counts_every_document(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"))
+    level = simhash.rarity(docs)
+    assert level.max() == 16 and (level > 0).sum() == 1  # 2 ** 15 < 40,000 <= 2 ** 16
+
+
 def brute(vectors, k):
     q = {}  # by id the smallest vector, and its row
     x = {}
