@@ -331,6 +331,37 @@ def prefix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return h[first[: n - (4 * n + 4) // 5 + 1]] if n else h
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the numbers of a set's shingles by their low bits, in a power of two of bits: as many as shingles or
+    up to twice that, 64 at least. Halves folded by XOR are the sketch of half the width."""
+    width = max(64, 1 << max(0, len(h) - 1).bit_length())
+    n = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def maybe_similar(sizes: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Pairs of sets that may have a similarity of 0.8 or more; all that have are among them. Two sets differ in as many
+    shingles as their sketches differ in bits, at least, and similar ones in a ninth of both sizes, at most."""
+    width = np.array([len(x) for x in sketches])
+    order = np.lexsort((sizes, width))
+    rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for w in np.unique(width).tolist():
+        at = order[width[order] == w]
+        rows[w] = at, sizes[at], np.frombuffer(b"".join(sketches[i] for i in at.tolist()), "<u4").reshape(len(at), -1)
+    for w, (at, size, bits) in rows.items():
+        own = [(at, size, bits, bits)]
+        if w // 2 in rows:
+            half = bits.shape[1] // 2
+            own.append((*rows[w // 2], bits[:, :half] ^ bits[:, half:]))
+        for others, less, theirs, mine in own:
+            first = np.searchsorted(5 * less, 4 * size)
+            for i, n in enumerate(size.tolist()):
+                j = slice(int(first[i]), i if others is at else None)
+                apart = np.bitwise_count(theirs[j] ^ mine[i]).sum(1, dtype=np.int64)
+                for k in np.flatnonzero(9 * apart <= less[j] + n).tolist():
+                    yield int(others[j.start + k]), int(at[i])
+
+
 #: What a bucket holds of each prefix: a shingle (the bits beyond the bucket's), its node, the node's component, the
 #: size of its set and the shingle's place in its order. Shingles alike in these bits are false proposals, no more.
 KEY = np.dtype([("key", "<u4"), ("node", "<i8"), ("comp", "<i8"), ("size", "<u4"), ("pos", "<u4")])
@@ -400,6 +431,20 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.flush()
 
 
+def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group the members whose sketches let them be similar, as groups to be verified. Input sorted by grp."""
+    out = Proposals(pairs=True)  # a group within one that was dealt is small
+    for _, t in groups(batches, "grp"):
+        node = t["node"].to_pylist()
+        uf = UnionFind()
+        for i, j in maybe_similar(t["size"].to_numpy(), t["sketch"].to_pylist()):
+            uf.union(node[i], node[j])
+        out.add(uf)
+        if len(out.grp) >= 5000:
+            yield out.flush()
+    yield out.flush()
+
+
 def _verified(words: int):
     """Links of each group, by exact similarity of its texts' sets of (64-bit hashes of) shingles."""
 
@@ -424,7 +469,8 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
     Texts with equal sets are one node. Fingerprints of the sets meet in shards of sampled bits; a shard's BK-tree
     proposes clusters within `radius` bits, and each proposed cluster is verified exactly on the texts' sets. That
     finds most pairs. Pairs of different components that share a shingle of their prefixes, which all similar pairs
-    do, are verified after that, so none is missed.
+    do, are verified after that, so none is missed. Unrelated texts that are proposed, the more of them the larger the
+    table, are told by their sketches, which pass every similar pair; only the texts of what passes are fetched.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -440,22 +486,26 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = W
             keys = [prefix(x, level).astype("<u8").tobytes() for x in h]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "fp": pa.array(fp), "sig": pa.array(sig),
-                "size": pa.array(list(map(len, h)), pa.int64()), "keys": pa.array(keys, pa.binary()),
+                "size": pa.array(list(map(len, h)), pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(map(sketch, h), pa.binary()),
             })
 
-    marked = stage(own.mapInArrow(mark, "doc_id long, text_hash long, fp long, sig long, size long, keys binary"), "marked")
+    marked = stage(own.mapInArrow(mark, "doc_id long, text_hash long, fp long, sig long, size long, keys binary, sketch binary"), "marked")
     #: Of the rows of a node the first one stands for it: its text is fetched where the node is to be verified.
     first = F.min(F.struct("doc_id", "text_hash", "fp")).alias("m")
     nodes = stage(marked.groupBy("sig").agg(first).select(F.col("sig").alias("node"), F.col("m.fp").alias("fp"), F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash")), "nodes")
     n, buckets = wide(docs), buckets_for(docs)
 
+    def fetched(met: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        # A bit table of fixed size picks the rows that are needed, the others stay where they are; the join is exact.
+        wanted = met.join(nodes.select("node", "doc_id", "text_hash"), "node")
+        some = maybe_in(table.select("doc_id", "text_hash", *columns), "doc_id", membership(wanted, "doc_id"))
+        got = wanted.join(some, ["doc_id", "text_hash"]).select("grp", "node", *columns)
+        return got.repartition(n, "grp").sortWithinPartitions("grp", "node")
+
     def verified(met: DataFrame) -> DataFrame:
-        # A bit table of fixed size picks the texts that are needed, the others stay where they are; the join is exact.
         # Texts are shuffled, not sets, which are larger and hold nothing that compression could take out.
-        wanted = met.join(nodes.select("node", "doc_id", "text_hash"), "node")
-        some = maybe_in(own, "doc_id", membership(wanted, "doc_id"))
-        got = wanted.join(some, ["doc_id", "text_hash"]).select("grp", "node", "text")
-        return got.repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_verified(words), "u long, v long")
+        sifted = fetched(met, marked, "size", "sketch").mapInArrow(_sifted, "grp long, node long").distinct()
+        return fetched(stage(sifted, "sifted"), own, "text").mapInArrow(_verified(words), "u long, v long")
 
     dealt = _shards(tables(nodes.count()), nodes).select(F.xxhash64("block", "bits").alias("shard"), "fp", "node").repartition(n, "shard").sortWithinPartitions("shard", "fp", "node")
     met = stage(dealt.mapInArrow(_clusters(radius), "grp long, node long").distinct(), "clusters")

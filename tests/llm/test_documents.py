@@ -285,6 +285,51 @@ def test_prefixes_of_similar_sets_meet():
         assert np.intersect1d(simhash.prefix(a, level), simhash.prefix(np.sort(b), level)).size
 
 
+def test_sketches_pass_similar_sets():
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 150), 1 << 10, (1 << 10) + 1, 5000]:
+        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        b = np.sort(rng.permutation(a)[: -(-4 * len(a) // 5)])  # at 0.8, or just above
+        c = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        sets = [c, a, b, np.empty(0, np.uint64)]
+        got = {frozenset(x) for x in simhash.maybe_similar(np.array(list(map(len, sets))), list(map(simhash.sketch, sets)))}
+        assert frozenset((1, 2)) in got
+        assert n < 20 or len(got) == 1
+
+
+def test_texts_of_unlike_documents_are_not_fetched(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    passages = [[f"p{i}x{j}" for j in range(25)] for i in range(12)]
+    texts = []
+    for i in range(60):  # pairs that share their rarest shingles, and so meet in their prefixes, but no more
+        own = [f"own{i}x{j}" for j in range(25)]
+        texts += [" ".join(sum([own, *r.sample(passages, 3)], [])) for _ in range(2)]
+    texts += [texts[0] + " and more"]
+    fetched = spark.sparkContext.accumulator(0)
+    verified = simhash._verified
+
+    def counted(words):
+        def run(batches):
+            def each():
+                for b in batches:
+                    fetched.add(b.num_rows)
+                    yield b
+
+            yield from verified(words)(each())
+
+        return run
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    got = linked(spark, texts)
+    sets = [set(simhash.shingle_set(x).tolist()) for x in texts]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert got[120] == got[0] and all(got[i] == got[j] for i, j in alike)
+    assert len(set(got.values())) == len(texts) - len({j for _, j in alike})
+    assert 2 <= fetched.value <= 20
+
+
 def test_similar_links_matches_sets():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
